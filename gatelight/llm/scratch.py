@@ -23,11 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df once as Parquet in the shared folder and return the table read back."""
+def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write df once as Parquet in the shared folder and return the table read back; ``by`` splits it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gatelight-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _live.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
