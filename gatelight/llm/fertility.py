@@ -9,10 +9,12 @@ Per document, over the whole text:
   number, so that it lies between 0 and 1 whatever the length; 1.0 for a single id.
 
 Bands are kept per group: the document's ``lang``, or ``script:<name>`` (its commonest script by
-characters) where lang is null or missing. A band is the group's quartiles, widened on either side by
-``reach`` times their distance or ``floor``, whichever is more. Quartiles are of all judged documents
-of the group, taken from an exact count of the metrics' values rounded to 1/256, so they add up over
-any partitioning. A group with fewer than ``least_docs`` judged documents takes the band of all.
+characters) where lang is null or missing, together with its size class, since short texts scatter
+more and entropy falls with length (class c: 4^c to 4^(c+1) - 1 ids). A band is the group's quartiles,
+widened on either side by ``reach`` times their distance or ``floor``, whichever is more. Quartiles are
+of all judged documents of the group, taken from an exact count of the metrics' values rounded to
+1/256, so they add up over any partitioning. A group of fewer than ``least_docs`` judged documents
+takes the band of its size class over all groups; if that class is as small, nothing of it is rejected.
 
 * Documents of fewer than ``least_tokens`` ids are measured and never rejected, nor do they shape bands.
 * A null or blank text has zero ids, null metrics and is not rejected. Ties with a band's edge are inside.
@@ -91,26 +93,28 @@ def _measured(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[p
 
 
 def _grouped(found: DataFrame) -> DataFrame:
-    return found.withColumn("band", F.coalesce("lang", F.concat(F.lit("script:"), "script")))
+    size = F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1))) / 2 + 1e-9).cast("int")
+    return found.withColumns({"band": F.coalesce("lang", F.concat(F.lit("script:"), "script")), "size_class": size})
 
 
 def bands(found: DataFrame, reach: float, floors: dict[str, float], least_tokens: int, least_docs: int) -> DataFrame:
-    """band, then low and high of each metric; the row with a null band is that of all documents."""
-    long = found.where(F.col("n_tokens") >= least_tokens).select("band", F.explode(F.create_map(*[x for m in floors for x in (F.lit(m), F.col(m))])).alias("metric", "value"))
-    counted = long.groupBy("band", "metric", F.round(F.col("value") * _GRID).cast("long").alias("bin")).agg(F.count("*").alias("n"))
-    whole = counted.groupBy("metric", "bin").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("band"), "metric", "bin", "n")
+    """band and size_class, then low and high of each metric; a null band is that of all documents."""
+    long = found.where(F.col("n_tokens") >= least_tokens).select("band", "size_class", F.explode(F.create_map(*[x for m in floors for x in (F.lit(m), F.col(m))])).alias("metric", "value"))
+    group = ["band", "size_class", "metric"]
+    counted = long.groupBy(*group, F.round(F.col("value") * _GRID).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    whole = counted.groupBy("size_class", "metric", "bin").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("band"), "size_class", "metric", "bin", "n")
     both = counted.unionByName(whole)
-    own = Window.partitionBy("band", "metric")
+    own = Window.partitionBy(*group)
     both = both.withColumn("total", F.sum("n").over(own)).withColumn("upto", F.sum("n").over(own.orderBy("bin")))
 
     def quartile(q: float) -> Column:
         return F.min(F.when(F.col("upto") >= F.col("total") * q, F.col("bin"))) / _GRID
 
-    cut = both.groupBy("band", "metric").agg(quartile(0.25).alias("a"), quartile(0.75).alias("b"), F.max("total").alias("total"))
+    cut = both.groupBy(*group).agg(quartile(0.25).alias("a"), quartile(0.75).alias("b"), F.max("total").alias("total"))
     floor = F.coalesce(*[F.when(F.col("metric") == m, F.lit(x)) for m, x in floors.items()])
     wide = F.greatest((F.col("b") - F.col("a")) * reach, floor)
-    cut = cut.where(F.col("band").isNull() | (F.col("total") >= least_docs)).select("band", "metric", (F.col("a") - wide).alias("low"), (F.col("b") + wide).alias("high"))
-    return cut.groupBy("band").agg(*[F.max(F.when(F.col("metric") == m, F.col(e))).alias(f"{e}_{m}") for m in floors for e in ("low", "high")])
+    cut = cut.where(F.col("total") >= least_docs).select(*group, (F.col("a") - wide).alias("low"), (F.col("b") + wide).alias("high"))
+    return cut.groupBy("band", "size_class").agg(*[F.max(F.when(F.col("metric") == m, F.col(e))).alias(f"{e}_{m}") for m in floors for e in ("low", "high")])
 
 
 def fertility(spark: SparkSession, docs: DataFrame, reach: float = REACH, floors: dict[str, float] | None = None, least_tokens: int = LEAST_TOKENS, least_docs: int = LEAST_DOCS, path: str | None = None) -> DataFrame:
@@ -121,10 +125,10 @@ def fertility(spark: SparkSession, docs: DataFrame, reach: float = REACH, floors
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = own.mapInArrow(lambda it: _measured(it, path), f"doc_id {kind}, lang string, script string, n_tokens long, " + ", ".join(f"{m} double" for m in METRICS))
     found = _grouped(materialize(found))
-    # one row a language or script, so it stays small however many documents there are
+    # some rows for each language or script, so it stays small however many documents there are
     cut = materialize(bands(found, reach, floors, least_tokens, least_docs))
-    whole = cut.where("band is null").select(*[F.col(c).alias(f"all_{c}") for c in cut.columns])
-    both = found.join(F.broadcast(cut.where("band is not null")), "band", "left").join(F.broadcast(whole), F.lit(True), "left")
+    whole = cut.where("band is null").select("size_class", *[F.col(c).alias(f"all_{c}") for c in cut.columns[2:]])
+    both = found.join(F.broadcast(cut.where("band is not null")), ["band", "size_class"], "left").join(F.broadcast(whole), "size_class", "left")
     outside = [(F.col(m) < F.coalesce(f"low_{m}", f"all_low_{m}")) | (F.col(m) > F.coalesce(f"high_{m}", f"all_high_{m}")) for m in floors]
     rejected = F.lit(False)
     for x in outside:

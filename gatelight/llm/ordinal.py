@@ -33,7 +33,7 @@ from .tables import field
 from .words import Words, buffers, hash_spans, pieces
 
 BITS = 18
-TAIL, CUT = 1, 0.35
+TAIL, CUT = 1, 0.5
 
 
 def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
