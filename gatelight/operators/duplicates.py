@@ -112,9 +112,10 @@ def shingle_overlap(docs: DataFrame, doc_key: str, others: DataFrame, other_key:
     runs that one other text holds, that text (the least key at ties), and the overlap band."""
 
     def runs(df: DataFrame, key: str, name: str) -> DataFrame:
-        own = df.select(F.col(key).alias(name), F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("w"))
-        each = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.array_join(F.slice("w", i, words), " ")))
-        return own.select(name, F.when(F.size("w") >= words, each).alias("runs")).where("runs is not null")
+        own = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+        # within the lambda the words are split once; a column would be split again for every run
+        each = F.transform(F.array(own), lambda w: F.when(F.size(w) >= words, F.transform(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, words), " ")))))
+        return df.select(F.col(key).alias(name), F.array_distinct(F.element_at(each, 1)).alias("runs")).where("runs is not null")
 
     a, b = runs(docs, doc_key, "doc"), runs(others, other_key, "other")
     left = a.select("doc", F.size("runs").alias("n"), F.explode("runs").alias("run"))

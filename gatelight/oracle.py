@@ -257,8 +257,8 @@ FROM best JOIN size USING (doc_id)""",
     "identity_check": f"WITH {_TEXTS} SELECT site, \"check\", status, array_to_string(issues, '; ') AS issues FROM identity",
     "completeness_summary": f"""
 WITH {_TEXTS}, r AS (SELECT * FROM complete UNION ALL SELECT * FROM identity),
-s AS (SELECT site, count(*) FILTER (status IN ('FAIL', 'ERROR')) AS failures, count(*) FILTER (status = 'HIGH_RISK') AS high_risks FROM r GROUP BY site)
-SELECT *, CASE WHEN failures > 0 THEN failures || ' failed' WHEN high_risks > 0 THEN high_risks || ' at high risk' ELSE 'all passed' END AS message FROM s""",
+z AS (SELECT site, count(*) FILTER (status IN ('FAIL', 'ERROR')) AS failures, count(*) FILTER (status = 'HIGH_RISK') AS high_risks FROM r GROUP BY site)
+SELECT *, CASE WHEN failures > 0 THEN failures || ' failed' WHEN high_risks > 0 THEN high_risks || ' at high risk' ELSE 'all passed' END AS message FROM z""",
     "preflight_gate": f"""
 WITH {_TEXTS},
 g AS (SELECT site, count(*) FILTER (error IS NULL AND coalesce(status, 599) < 400 AND {words(depth_text("coalesce(body, '')"))} >= 1200) AS guides FROM fetches WHERE method = 'GET' GROUP BY site),
