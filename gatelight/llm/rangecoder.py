@@ -46,9 +46,9 @@ VOCAB = 50_257
 _T = 24
 _TOTAL = 1 << _T
 #: The range that order 0 keeps at least; more than its counts' total can be.
-_REST = 1 << 19
+_REST = 1 << 20
 _LIMIT = _TOTAL - _REST
-_TIMES = 8
+_TIMES = 32
 _PRIOR = 1 + 4096 // (np.arange(VOCAB, dtype=np.int64) + 64)
 _LOW = np.uint64((1 << 32) - 1)
 _STATES = 50
@@ -91,6 +91,8 @@ def _contexts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def intervals(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each id's share of the range begins, and how much it is, of 2^24."""
     ids = ids.astype(np.int64)
+    if len(ids) * _TIMES + _PRIOR.sum() > _REST:
+        raise ValueError(f"a block holds at most {(_REST - _PRIOR.sum()) // _TIMES} ids")
     one, two = _contexts(ids)
     guess1, state1 = _history(ids, _before(one))
     guess2, state2 = _history(ids, _before(two))
@@ -133,6 +135,8 @@ def _masses(tally: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
     """Each block's code, all of them coded in lockstep."""
+    if not blocks:
+        return []
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     size = np.array([len(blocks[i]) for i in order])
     n, lanes = int(size.max(initial=0)), len(blocks)

@@ -114,14 +114,13 @@ def parse(html: str, depth: int = DEPTH) -> Node:
                 if stack[i].tag in ("td", "th", "li", "div", "button"):
                     break
         if tag in _CLOSES:
-            fence = _FENCE[tag]
+            fence, cut = _FENCE[tag], len(stack)
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in fence:
                     break
                 if stack[i].tag in _CLOSES[tag]:
-                    del stack[i:]
-                    # a row's cell may have been open within it
-                    break
+                    cut = i  # a row closes with the cell that is open within it
+            del stack[cut:]
         if tag == "br":
             kids = stack[-1].kids
             if kids and kids[-1].tag == "#text":
