@@ -130,9 +130,40 @@ def ratio_of(a: str | None, b: str | None) -> float:
     return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
 
 
-@_native("double")
-def ratio(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([ratio_of(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+def lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence, with the longer text's characters as the bits of one number."""
+    if len(a) < len(b):
+        a, b = b, a
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    rows = full
+    for c in b:
+        if hit := at.get(c):
+            u = rows & hit
+            rows = ((rows + u) | (rows - u)) & full
+    return len(a) - rows.bit_count()
+
+
+def ratio_from(threshold: float):
+    """The ratio, or null where it is under the threshold.
+
+    Matching blocks are a common subsequence, so the longest one bounds the ratio from above. It is much
+    cheaper to find, and loses no pair.
+    """
+
+    @F.arrow_udf("double")
+    def ratio(a: pa.Array, b: pa.Array) -> pa.Array:
+        def one(x: str | None, y: str | None) -> float | None:
+            if not x or not y or 2 * lcs(x, y) < threshold * (len(x) + len(y)):
+                return None
+            found = ratio_of(x, y)
+            return found if found >= threshold else None
+
+        return pa.array([one(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+
+    return ratio
 
 
 def sitemap_of(xml: str | None) -> tuple[bool, list[str | None]]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import html
 from ..functions.exact import exact_meta, resolved
 from ..functions.urls import authority
+from ..sources.shared import keep
 
 DEPTH = 2
 
@@ -32,9 +33,9 @@ def crawl(fetches: DataFrame, starts: DataFrame, depth: int = DEPTH, save: Calla
     """site, seq, depth, url, status, metadata, content_length, error, for starts (site, url).
 
     Each level is one join of the frontier with the stored pages and one anti-join with what was seen.
-    Every level but the last is kept by ``save`` (a checkpoint by default), so a plan stays one level long.
+    Every level but the last is kept by ``save`` (a written table by default), so a plan stays one level long.
     """
-    save = save or (lambda df: df.checkpoint())
+    save = save or keep
     stored = fetches.where("method = 'GET'").dropDuplicates(["requested_url"]).select("requested_url", "final_url", "status", "body", "error")
     base = starts.select("site", authority(F.col("url")).alias("domain"), "url").withColumns({"depth": F.lit(0), "rank": F.lit("")})
     frontier, seen, records = base, None, None

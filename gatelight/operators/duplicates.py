@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html
-from ..functions.exact import exact_text, ratio
+from ..functions.exact import exact_text, ratio_from
+from ..sources.shared import keep
 
 THRESHOLD = 0.8
 #: At a site's share of groups above this, duplication counts as high.
@@ -51,7 +52,7 @@ def similar_pairs(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     b = chars.select("site", F.col("seq").alias("j"), F.col("text").alias("tj"), F.col("chars").alias("cj"))
     pairs = candidates(pages, threshold).join(a, ["site", "i"]).join(b, ["site", "j"])
     common = F.aggregate(F.zip_with("ci", "cj", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return pairs.where(2 * common / (F.col("ni") + F.col("nj")) >= threshold).select("site", "i", "j", ratio("ti", "tj").alias("sim")).where(F.col("sim") >= threshold)
+    return pairs.where(2 * common / (F.col("ni") + F.col("nj")) >= threshold).select("site", "i", "j", ratio_from(threshold)("ti", "tj").alias("sim")).where("sim is not null")
 
 
 #: Characters that are counted one by one; all others together.
@@ -73,7 +74,7 @@ def leaders(pages: DataFrame, edges: DataFrame, save: _Save | None = None) -> Da
     In order, a page leads unless an earlier leader is similar to it, and a member joins the first such. By
     rounds: a page is a member once one earlier neighbour leads, and leads once all of them are members.
     """
-    save = save or (lambda df: df.checkpoint())
+    save = save or keep
     edges = save(edges.select("site", "i", "j"))
     state = save(edges.select("site", F.col("i").alias("v")).union(edges.select("site", "j")).distinct().withColumn("leads", F.lit(None).cast("boolean")))
     while True:
@@ -90,7 +91,7 @@ def leaders(pages: DataFrame, edges: DataFrame, save: _Save | None = None) -> Da
 
 def groups(pages: DataFrame, pairs: DataFrame, save: _Save | None = None) -> DataFrame:
     """site, source, similar_pages (url, sim in page order), avg_similarity for each leader with members."""
-    save = save or (lambda df: df.checkpoint())
+    save = save or keep
     pairs = save(pairs)
     found = leaders(pages, pairs, save).join(pairs.select("site", F.col("i").alias("leader"), F.col("j").alias("member"), "sim"), ["site", "leader", "member"])
     url = pages.select("site", "seq", "url")
@@ -112,9 +113,9 @@ def shingle_overlap(docs: DataFrame, doc_key: str, others: DataFrame, other_key:
     runs that one other text holds, that text (the least key at ties), and the overlap band."""
 
     def runs(df: DataFrame, key: str, name: str) -> DataFrame:
-        own = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
-        # within the lambda the words are split once; a column would be split again for every run
-        each = F.transform(F.array(own), lambda w: F.when(F.size(w) >= words, F.transform(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, words), " ")))))
+        own = F.transform(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+        # within the lambda the words are split and hashed once; a column would be evaluated again for every run
+        each = F.transform(F.array(own), lambda h: F.when(F.size(h) >= words, F.transform(F.sequence(F.lit(0), F.size(h) - words), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(words)]))))
         return df.select(F.col(key).alias(name), F.array_distinct(F.element_at(each, 1)).alias("runs")).where("runs is not null")
 
     a, b = runs(docs, doc_key, "doc"), runs(others, other_key, "other")

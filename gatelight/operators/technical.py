@@ -31,8 +31,9 @@ def _details(**items: Column) -> Column:
 
 
 def site_fetches(fetches: DataFrame) -> DataFrame:
-    """One row a site with the fetches that the checks look at, as structs."""
+    """One row a site with the fetches that the checks look at, as structs. No other body leaves the scan."""
     at = path(F.col("requested_url"))
+    looked_at = fetches.where(at.isin("", "/", "/about", "/contact", "/robots.txt", "/sitemap.xml", "/ads.txt", "/privacy"))
     row = F.struct("requested_url", "final_url", "status", "body", "headers", "redirect_count", "elapsed_ms", "ssl_error", "error_kind", "error")
 
     def first(condition: Column, name: str) -> Column:
@@ -40,9 +41,10 @@ def site_fetches(fetches: DataFrame) -> DataFrame:
 
     get, head = F.col("method") == "GET", F.col("method") == "HEAD"
     root = at.isin("", "/")
-    return fetches.groupBy("site").agg(
+    found = looked_at.groupBy("site").agg(
         first(get & root, "home"), first(get & (at == "/about"), "about"), first(get & (at == "/contact"), "contact"), first(get & (at == "/robots.txt"), "robots"),
         first(get & (at == "/sitemap.xml"), "map"), first(get & (at == "/ads.txt"), "sellers"), first(head & root, "head"), first(get & (at == "/privacy"), "privacy"))
+    return fetches.select("site").distinct().join(found, "site", "left")
 
 
 def robots(r: Column, rfc: bool = False) -> Column:

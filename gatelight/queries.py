@@ -11,6 +11,7 @@ from .functions import html, text, urls
 from .operators import completeness, crawl, depth, duplicates, metrics, policy, rubric, tasks, technical
 from .plans import modes, registry, samples
 from .sources.fetches import from_pages, read_table
+from .sources.shared import keep
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,16 +26,6 @@ def _joined(items: Column, by: str = "; ") -> Column:
     return F.array_join(items, by)
 
 
-def _shared(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder that the session names; a session without one gets it from its caller."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gatelight-"))
-    return df.checkpoint()
-
-
 # text depth
 
 
@@ -140,7 +131,7 @@ def identity_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pages_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shared(duplicates.corpus(from_pages(read_table(spark, sf_dir, "pages"))))
+    return keep(duplicates.corpus(from_pages(read_table(spark, sf_dir, "pages"))))
 
 
 @query
@@ -163,13 +154,13 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _pages_corpus(spark, sf_dir)
-    return duplicates.groups(own, duplicates.similar_pairs(own), _shared)
+    return duplicates.groups(own, duplicates.similar_pairs(own))
 
 
 @query
 def duplicate_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _pages_corpus(spark, sf_dir)
-    return duplicates.risk(own, duplicates.groups(own, duplicates.similar_pairs(own), _shared))
+    return duplicates.risk(own, duplicates.groups(own, duplicates.similar_pairs(own)))
 
 
 @query
@@ -358,4 +349,4 @@ def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(F.lit('<a href="'), url((k + 1) % size), F.lit('"></a><a href="'), url((k * 3) % size), F.lit('"></a><a href="#x"></a><a href="https://off.example/"></a>'))
     pages = nation.select(k.cast("long").alias("page_id"), url(k).alias("url"), body.alias("html"))
     starts = spark.createDataFrame([("n.example", "https://n.example/0"), ("n.example", "https://n.example/2")], "site string, url string")
-    return crawl.crawl(from_pages(pages), starts, 2, _shared).groupBy("url").agg(F.min("depth").alias("depth"))
+    return crawl.crawl(from_pages(pages), starts, 2).groupBy("url").agg(F.min("depth").alias("depth"))
