@@ -227,3 +227,27 @@ def test_streaming_health(spark, tmp_path):
 def test_diff(spark):
     got = {(r.site, r.id): r.change for r in policy.diff(samples.sample(spark, "before"), samples.sample(spark, "after")).collect()}
     assert got["a.example", "ADS-CONTENT-02"] == "fixed" and got["a.example", "ADS-UX-05"] == "regression" and got["b.example", "ADS-CRAWL-02"] == "open"
+
+
+def test_groups_and_risk(spark):
+    rows = [("s", i, f"u{i}", t, len(t)) for i, t in enumerate(["abcdefghij", "abcdefghiX", "qqqqqqqqqq", "abcdefghYX"])]
+    pages = spark.createDataFrame(rows, "site string, seq long, url string, text string, n int")
+    found = duplicates.groups(pages, duplicates.similar_pairs(pages))
+    got = found.collect()
+    assert [(r.source, [(p.url, p.sim) for p in r.similar_pages], r.avg_similarity) for r in got] == [("u0", [("u1", 0.9), ("u3", 0.8)], pytest.approx(0.85))]
+    risk = duplicates.risk(pages, found).first()
+    assert (risk.pages, risk.groups, risk.affected, risk.affected_share, risk.duplication) == (4, 1, 3, 0.75, "acceptable")
+    alone = duplicates.risk(pages.where("seq < 2"), found).first()
+    assert alone.duplication == "high"
+
+
+def test_texts(spark):
+    from gatelight import queries
+
+    report = {r.site: r.report for r in queries.audit_report(spark, "").collect()}
+    assert report["a.example"].startswith("**Decision**\nNot ready\n") and "- `ADS-CONTENT-02`: 40 of 50 pages alike. write own text" in report["a.example"]
+    assert report["b.example"].count("| ADS-") == 81 and "81 of 81; missing: none" in report["b.example"]
+    lines = {(r.site, r.seq): r.line for r in queries.task_lines(spark, "").collect()}
+    assert lines["a.example", "BLOCKER-01"] == "[a.example] BLOCKER-01: Name the publisher (p1, 1.5h, @blocker)\n- needs: ADS-AUTHOR-01\n- seen: no name\n- do: do: Name the publisher\n- done when: ADS-AUTHOR-01 passes"
+    issues = {(r.site, r.seq): r.issue for r in queries.task_issues(spark, "").collect()}
+    assert "- [ ] do: Ask for consent" in issues["b.example", "HIGH-02"] and issues["b.example", "HIGH-02"].endswith("Labels: high, b.example")
