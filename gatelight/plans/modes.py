@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import completeness, depth, duplicates, policy, tasks, technical
+from ..sources.shared import keep
 from . import registry
 
 
 def evidence(fetches: DataFrame) -> dict[str, DataFrame]:
     """All computed evidence of a snapshot."""
-    pages = depth.page_depth(fetches)
-    corpus = duplicates.corpus(fetches)
-    return {"depth": pages, "technical": technical.checks(fetches), "completeness": completeness.checks(fetches), "duplication": duplicates.risk(corpus, duplicates.groups(corpus, duplicates.similar_pairs(corpus)))}
+    corpus = keep(duplicates.corpus(fetches))
+    return {"depth": depth.page_depth(fetches), "technical": technical.checks(fetches), "completeness": completeness.checks(fetches), "duplication": duplicates.risk(corpus, duplicates.groups(corpus, duplicates.similar_pairs(corpus)))}
 
 
-def audit(spark: SparkSession, fetches: DataFrame, manual: DataFrame | None = None, duplication: bool = False) -> dict[str, DataFrame]:
+def audit(spark: SparkSession, fetches: DataFrame, manual: DataFrame | None = None) -> dict[str, DataFrame]:
     """Before an application: checklist, decision, coverage, gates. ``manual`` holds findings by hand."""
-    pages, tech, done = depth.page_depth(fetches), technical.checks(fetches), completeness.checks(fetches)
-    alike = evidence(fetches)["duplication"] if duplication else None
-    found = policy.computed_findings(pages, tech, done, alike)
+    own = evidence(fetches)
+    pages, done = own["depth"], own["completeness"]
+    found = policy.computed_findings(pages, own["technical"], done, own["duplication"])
     found = found.unionByName(manual.select(*found.columns)) if manual is not None else found
     needs = registry.requirements(spark)
     report = policy.checklist(fetches.select("site"), needs, found)

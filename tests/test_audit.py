@@ -152,6 +152,16 @@ def test_every_requirement_once(spark, fetched):
     assert {r.site: r.decision for r in out["decision"].collect()}["unfinished.example"] == "Not ready"
 
 
+def test_audit_judges_duplication(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(2, 9) for _ in range(80)) for _ in range(8)]
+    alike = page(spark, *[f"<p>{t} {end}</p>" for t in texts[:4] for end in ("one", "two")])  # 4 groups of 8 pages
+    apart = page(spark, *[f"<p>{t}</p>" for t in texts], urls=[f"https://t/{k}" for k in range(8)]).withColumn("site", F.lit("t"))
+    got = {(r.site, r.id): r for r in modes.audit(spark, alike.union(apart))["checklist"].collect()}
+    assert (got["s", "ADS-CONTENT-08"].verdict, got["s", "ADS-CONTENT-08"].evidence) == ("Fail", "8 of 8 pages in groups")
+    assert got["t", "ADS-CONTENT-08"].verdict == "Pass"
+
+
 def test_rates_and_bands(spark):
     got = {r.site: r.verdict for r in rubric.rated(samples.sample(spark, "ratings")).collect()}
     assert got == {"tool0.example": "Pass", "tool1.example": "Unknown", "tool2.example": "Fail", "quiz3.example": "Pass", "quiz4.example": "Unknown", "quiz5.example": "Fail"}
