@@ -14,7 +14,11 @@ more and entropy falls with length (class c: 4^c to 4^(c+1) - 1 ids). A band is
 widened on either side by ``reach`` times their distance or ``floor``, whichever is more. Quartiles are
 of all judged documents of the group, taken from an exact count of the metrics' values rounded to
 1/256, so they add up over any partitioning. A group of fewer than ``least_docs`` judged documents
-takes the band of its size class over all groups; if that class is as small, nothing of it is rejected.
+takes the band of its size class over all groups. With ``borrow``, as in the query, a class as small
+takes in its neighbours on either side, one step more at a time, until it has so many, and at last all
+documents, however few; so every judged document has a band. As longer texts have lower entropy but more
+bits of it, a band of other lengths holds by whichever of the two is wider, with the classes' middle
+lengths. Without ``borrow`` nothing of such a class is rejected.
 
 * Documents of fewer than ``least_tokens`` ids are measured and never rejected, nor do they shape bands.
 * A null or blank text has zero ids, null metrics and is not rejected. Ties with a band's edge are inside.
@@ -97,12 +101,25 @@ def _grouped(found: DataFrame) -> DataFrame:
     return found.withColumns({"band": F.coalesce("lang", F.concat(F.lit("script:"), "script")), "size_class": size})
 
 
-def bands(found: DataFrame, reach: float, floors: dict[str, float], least_tokens: int, least_docs: int) -> DataFrame:
-    """band and size_class, then low and high of each metric; a null band is that of all documents."""
+def _lenders(by_class: DataFrame, least_docs: int) -> DataFrame:
+    """size_class, lender, n: the classes whose documents make the band of each class; itself alone where it is large enough."""
+    size = by_class.groupBy("size_class", "metric").agg(F.sum("n").alias("n")).groupBy("size_class").agg(F.max("n").alias("n"))
+    pair = size.select("size_class").crossJoin(size.select(F.col("size_class").alias("lender"), "n")).withColumn("far", F.abs(F.col("size_class") - F.col("lender")))
+    nearer = Window.partitionBy("size_class").orderBy("far").rangeBetween(Window.unboundedPreceding, -1)
+    return pair.withColumn("had", F.coalesce(F.sum("n").over(nearer), F.lit(0))).where((F.col("far") == 0) | (F.col("had") < least_docs)).select("size_class", "lender", "n")
+
+
+def bands(found: DataFrame, reach: float, floors: dict[str, float], least_tokens: int, least_docs: int, borrow: bool = False) -> DataFrame:
+    """band and size_class, then low and high of each metric; a null band is that of all groups."""
     long = found.where(F.col("n_tokens") >= least_tokens).select("band", "size_class", F.explode(F.create_map(*[x for m in floors for x in (F.lit(m), F.col(m))])).alias("metric", "value"))
     group = ["band", "size_class", "metric"]
     counted = long.groupBy(*group, F.round(F.col("value") * _GRID).cast("long").alias("bin")).agg(F.count("*").alias("n"))
-    whole = counted.groupBy("size_class", "metric", "bin").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("band"), "size_class", "metric", "bin", "n")
+    by_class = counted.groupBy("size_class", "metric", "bin").agg(F.sum("n").alias("n"))
+    lenders = materialize(_lenders(by_class, least_docs if borrow else 0))
+    # log2 of a class's middle length is 2c + 1
+    scale = lenders.groupBy("size_class").agg((F.sum(F.col("n") * (2 * F.col("lender") + 1)) / F.sum("n")).alias("lent")).select("size_class", (F.col("lent") / (2 * F.col("size_class") + 1)).alias("scale"))
+    lent = by_class.withColumnRenamed("size_class", "lender").join(F.broadcast(lenders.drop("n")), "lender")
+    whole = lent.groupBy("size_class", "metric", "bin").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("band"), "size_class", "metric", "bin", "n")
     both = counted.unionByName(whole)
     own = Window.partitionBy(*group)
     both = both.withColumn("total", F.sum("n").over(own)).withColumn("upto", F.sum("n").over(own.orderBy("bin")))
@@ -113,11 +130,13 @@ def bands(found: DataFrame, reach: float, floors: dict[str, float], least_tokens
     cut = both.groupBy(*group).agg(quartile(0.25).alias("a"), quartile(0.75).alias("b"), F.max("total").alias("total"))
     floor = F.coalesce(*[F.when(F.col("metric") == m, F.lit(x)) for m, x in floors.items()])
     wide = F.greatest((F.col("b") - F.col("a")) * reach, floor)
-    cut = cut.where(F.col("total") >= least_docs).select(*group, (F.col("a") - wide).alias("low"), (F.col("b") + wide).alias("high"))
+    cut = cut.where((F.lit(borrow) & F.col("band").isNull()) | (F.col("total") >= least_docs)).join(F.broadcast(scale), "size_class")
+    by_length = F.when(F.col("band").isNull() & (F.col("metric") == "token_entropy"), F.col("scale")).otherwise(1.0)
+    cut = cut.select(*group, ((F.col("a") - wide) * F.least(F.lit(1.0), by_length)).alias("low"), ((F.col("b") + wide) * F.greatest(F.lit(1.0), by_length)).alias("high"))
     return cut.groupBy("band", "size_class").agg(*[F.max(F.when(F.col("metric") == m, F.col(e))).alias(f"{e}_{m}") for m in floors for e in ("low", "high")])
 
 
-def fertility(spark: SparkSession, docs: DataFrame, reach: float = REACH, floors: dict[str, float] | None = None, least_tokens: int = LEAST_TOKENS, least_docs: int = LEAST_DOCS, path: str | None = None) -> DataFrame:
+def fertility(spark: SparkSession, docs: DataFrame, reach: float = REACH, floors: dict[str, float] | None = None, least_tokens: int = LEAST_TOKENS, least_docs: int = LEAST_DOCS, path: str | None = None, borrow: bool = False) -> DataFrame:
     """doc_id, band, n_tokens, the three metrics, and whether the document is rejected, for each row."""
     floors = floors or METRICS
     lang = field("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
@@ -126,7 +145,7 @@ def fertility(spark: SparkSession, docs: DataFrame, reach: float = REACH, floors
     found = own.mapInArrow(lambda it: _measured(it, path), f"doc_id {kind}, lang string, script string, n_tokens long, " + ", ".join(f"{m} double" for m in METRICS))
     found = _grouped(materialize(found))
     # some rows for each language or script, so it stays small however many documents there are
-    cut = materialize(bands(found, reach, floors, least_tokens, least_docs))
+    cut = materialize(bands(found, reach, floors, least_tokens, least_docs, borrow))
     whole = cut.where("band is null").select("size_class", *[F.col(c).alias(f"all_{c}") for c in cut.columns[2:]])
     both = found.join(F.broadcast(cut.where("band is not null")), ["band", "size_class"], "left").join(F.broadcast(whole), "size_class", "left")
     outside = [(F.col(m) < F.coalesce(f"low_{m}", f"all_low_{m}")) | (F.col(m) > F.coalesce(f"high_{m}", f"all_high_{m}")) for m in floors]

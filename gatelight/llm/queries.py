@@ -35,7 +35,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.fertility(spark, read(spark, sf_dir, "documents"))
+    return fertility.fertility(spark, read(spark, sf_dir, "documents"), borrow=True)
 
 
 def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,15 @@ def test_equals_brute_force(spark, odd_docs, rng):
     assert got[str((501, found[[m[0] for m in found].index(501)][2]))].rejected
 
 
+def test_sparse_lengths_are_judged(spark, rng):
+    rows = [(i, words(rng, rng.randint(40, 100)), "en") for i in range(80)]
+    rows += [(100, words(rng, 9000), "en"), (101, "a" * 90000, "en"), (102, "🎉🎊🎈" * 9000, "fr"), (103, words(rng, 18), None)]  # alone in their size classes
+    got = {r.doc_id: r.rejected for r in fe.fertility(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), borrow=True).collect()}
+    assert {i for i, x in got.items() if x} == {101, 102}
+    few = spark.createDataFrame([*rows[:9], *rows[81:83]], "doc_id long, text string, lang string")  # fewer than any band asks for
+    assert {r.doc_id for r in fe.fertility(spark, few, borrow=True).where("rejected").collect()} == {101, 102}
+
+
 def test_empty_and_script(spark, no_docs, odd_docs):
     assert fe.fertility(spark, no_docs).count() == 0
     got = {r.doc_id: r.band for r in fe.fertility(spark, odd_docs.drop("lang")).collect()}
