@@ -7,7 +7,9 @@ child. Importance follows from entropy over the m pages that share a node, in un
 
 * A leaf's content importance is 1 - the mean entropy of its features. Features are the sentences of
   its text, its link and its source; a feature's entropy is that of its spread over the pages, so what
-  every page repeats has entropy 1 and what one page holds alone has 0.
+  every page repeats has entropy 1 and what one page holds alone has 0. The unit is log(min(m, ``support``)),
+  so that a template repeated on some of a host's pages goes however many pages the host has: with the
+  defaults, what stands on five pages or more in the (geometric) mean of a place's features.
 * An inner node's presentation importance is the entropy of the pages' distribution over its styles.
 * Its composite importance is (1 - g^l) * presentation + g^l * the mean, over its styles by their share
   of pages, of the children's mean composite importance; l is the number of its styles, g ``damp``.
@@ -46,6 +48,8 @@ from .scratch import materialize
 from .tables import field
 
 LEAST, DAMP, MIN_PAGES, DEPTH = 0.3, 0.9, 3, 64
+#: A feature on so many pages has the entropy of a template, on a host of any size.
+SUPPORT = 8
 #: Branches to remove are broadcast up to so many; beyond that they are joined by page.
 BROADCAST_ROWS = 2_000_000
 
@@ -277,12 +281,12 @@ def nodes(own: DataFrame, depth: int = DEPTH) -> DataFrame:
         F.count(F.when(feature, 1)).alias("features"), F.sum(F.when(feature, spread)).alias("spread"))
 
 
-def branches(own: DataFrame, least: float = LEAST, damp: float = DAMP, min_pages: int = MIN_PAGES, depth: int = DEPTH) -> DataFrame:
+def branches(own: DataFrame, least: float = LEAST, damp: float = DAMP, min_pages: int = MIN_PAGES, depth: int = DEPTH, support: int = SUPPORT) -> DataFrame:
     """e: the uppermost nodes of the branches that go."""
     shared = nodes(own, depth).where((F.col("m") >= min_pages) & (F.col("m") > 1))
     unit = F.log("m")
     present = F.greatest(F.lit(0.0), (unit - F.col("mlogm") / F.col("m")) / unit)
-    content = F.when(F.col("features") > 0, F.lit(1.0) - F.col("spread") / F.col("features") / unit).otherwise(F.lit(0.0))
+    content = F.when(F.col("features") > 0, F.lit(1.0) - F.col("spread") / F.col("features") / F.least(unit, F.lit(math.log(support)))).otherwise(F.lit(0.0))
     weight = F.pow(F.lit(float(damp)), F.col("styles"))
     shared = materialize(shared.select("e", "up", "level", "many", "m", "styles", present.alias("present"), content.alias("content"), weight.alias("weight")), "level")
     deepest = shared.agg(F.max("level")).first()[0]
@@ -327,10 +331,10 @@ def _table(ids: pa.Array, found: tuple[list, list, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, pa.array(found[0], pa.string()), pa.array(found[1], pa.int32()), pa.array(found[2], pa.int32())], ["page_id", "text", "removed_branches", "kept_nodes"])
 
 
-def extract(spark: SparkSession, pages: DataFrame, least: float = LEAST, damp: float = DAMP, min_pages: int = MIN_PAGES, depth: int = DEPTH, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def extract(spark: SparkSession, pages: DataFrame, least: float = LEAST, damp: float = DAMP, min_pages: int = MIN_PAGES, depth: int = DEPTH, broadcast_rows: int = BROADCAST_ROWS, support: int = SUPPORT) -> DataFrame:
     """page_id, text of what stays, removed_branches and kept_nodes, for every page."""
     own = own_pages(pages)
-    gone = materialize(branches(own, least, damp, min_pages, depth))
+    gone = materialize(branches(own, least, damp, min_pages, depth, support))
     kind = pages.schema["page_id"].dataType.simpleString()
     if gone.count() <= broadcast_rows:
         shared = spark.sparkContext.broadcast(np.sort(gone.toArrow().column("e").to_numpy()))

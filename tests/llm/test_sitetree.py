@@ -139,3 +139,10 @@ def test_parser():
     deep = "<div>" * 5000 + "bottom" + "</div>" * 5000
     assert "bottom" in st.kept(st.parse(deep), "h", set())[0]
     assert st.kept(st.parse("a < b & c &amp; d"), "h", set())[0] == "a < b & c & d"
+
+
+def test_sections_of_a_large_host(spark):
+    """Each of 50 sections repeats its own footer on 6 of 300 pages."""
+    rows = [(k, f"http://big.example/{k}", page(k, f"<p>Unique text number {k}.</p>", f"Footer of section {k % 50}.")) for k in range(300)]
+    got = st.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {k: f"Title {k}\nUnique text number {k}." for k in range(300)}
