@@ -74,6 +74,17 @@ def test_keep_one(spark, docs):
     assert report[2].kept_id == 1 and report[2].group_size == 2
 
 
+def test_edited_copies(spark, rng):
+    """Copies with five or six of 60 words replaced, of similarity 0.59 or 0.53."""
+    rows = []
+    for g in range(30):
+        base = [f"b{g}x{k}" for k in range(60)]
+        copy = [f"z{g}y{k}" if k % 9 == 4 and k // 9 < 5 + g % 2 else w for k, w in enumerate(base)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+    kept = {r.doc_id for r in mh.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {2 * g for g in range(30)} <= kept and len(kept) <= 30 + 4
+
+
 def test_many_copies_and_empty(spark, no_docs):
     text = "one text that stands in a thousand documents word for word"
     many = spark.range(1500).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
