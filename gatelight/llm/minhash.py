@@ -16,7 +16,7 @@ bucket of n true copies takes about n tests instead of n * n / 2.
   is one shingle. Texts of the same words in the same order are copies without further test.
 * Groups are the connected components of verified pairs with similarity >= ``least``; ties at the
   threshold count. The document with the least doc_id of a group stays.
-* Rows that share a doc_id count as one document: the row with the least text is taken, and stays.
+* Rows that share a doc_id count as one document: the row with the least text that has a word is taken, and stays.
 * Rows with a null doc_id, a null text or no word are in no group and always stay.
 * Empty tables give empty results. Other columns are not read.
 """
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import materialize
@@ -95,8 +95,16 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
 
 def one_row_each(docs: DataFrame) -> DataFrame:
     """id and lower-cased text, one row a doc_id; rows without an id or a word left out."""
-    own = docs.select(field("doc_id").alias("id"), F.lower(field("text").cast("string")).alias("text"))
-    return own.where(F.col("id").isNotNull() & F.rlike("text", F.lit(SPACE_CLASS.replace("[", "[^"))))
+    own = docs.select(field("doc_id").alias("id"), field("text").cast("string").alias("text")).where(F.col("id").isNotNull() & _worded(F.col("text")))
+    again = materialize(own.groupBy("id").count().where("count > 1").select("id"))
+    if not again.isEmpty():
+        least = own.join(again, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+        own = own.join(again, "id", "left_anti").unionByName(least)
+    return own.select("id", F.lower("text").alias("text"))
+
+
+def _worded(text: Column) -> Column:
+    return F.rlike(text, F.lit(SPACE_CLASS.replace("[", "[^")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -118,7 +126,6 @@ def groups_of(spark: SparkSession, docs: DataFrame, least: float = LEAST, n: int
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = one_row_each(docs)
     signed = text.mapInArrow(lambda it: _signed(it, n, groups, band), f"id {kind}, k1 long, k2 long, bands array<bigint>")
-    # repeated rows of an id: the least signature stands for them until the exact copies are joined
     signed = materialize(signed)
     alike = signed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     alike = materialize(alike)
@@ -173,6 +180,6 @@ def keep_one(spark: SparkSession, docs: DataFrame, least: float = LEAST) -> Data
     if again.isEmpty():
         return out
     twice = out.join(again, field("doc_id") == F.col(key), "left_semi")
-    rank = F.row_number().over(Window.partitionBy(field("doc_id")).orderBy(field("text"), F.xxhash64(*[field(c) for c in docs.columns])))
+    rank = F.row_number().over(Window.partitionBy(field("doc_id")).orderBy(~F.coalesce(_worded(field("text").cast("string")), F.lit(False)), field("text"), F.xxhash64(*[field(c) for c in docs.columns])))
     one = twice.withColumn(text, rank).where(F.col(text) == 1).drop(text)
     return out.join(again, field("doc_id") == F.col(key), "left_anti").unionByName(one)

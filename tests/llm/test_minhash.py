@@ -85,6 +85,13 @@ def test_edited_copies(spark, rng):
     assert {2 * g for g in range(30)} <= kept and len(kept) <= 30 + 4
 
 
+def test_two_texts_of_an_id(spark):
+    copied, alone = "these words stand in two of the documents here", "a text of its own that has no copy at all"
+    rows = [(1, copied), (2, copied), (2, alone), (3, None), (3, "another text that is nowhere else to be found")]
+    got = mh.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.text) for r in got} == {rows[0], rows[2], rows[4]}
+
+
 def test_many_copies_and_empty(spark, no_docs):
     text = "one text that stands in a thousand documents word for word"
     many = spark.range(1500).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
