@@ -21,14 +21,10 @@ def test_no_folder_of_one_machine_on_a_cluster(master):
     assert shared.folder(Session("local[8]")).startswith("file://")
 
 
-def test_tables_on_the_way_go(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        out = shared.only(lambda: shared.keep(shared.keep(spark.range(5)).withColumn("x", F.col("id") * 2)).where("id > 1"))
-        assert len([x for x in os.listdir(tmp_path) if x.startswith("gatelight-")]) == 1
-        assert sorted(r.x for r in out.collect()) == [4, 6, 8]
-        before = len(shared._written)
-        shared.drop(before - 1)
-        assert not [x for x in os.listdir(tmp_path) if x.startswith("gatelight-")]
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_tables_on_the_way_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "folder", lambda _: f"file://{tmp_path}")
+    out = shared.only(lambda: shared.keep(shared.keep(spark.range(5)).withColumn("x", F.col("id") * 2)).where("id > 1"))
+    assert len([x for x in os.listdir(tmp_path) if x.startswith("gatelight-")]) == 1
+    assert sorted(r.x for r in out.collect()) == [4, 6, 8]
+    shared.drop(len(shared._written) - 1)
+    assert not [x for x in os.listdir(tmp_path) if x.startswith("gatelight-")]
