@@ -1,47 +1,8 @@
-"""Tables that cut lineage, kept in the folder that all executors share.
+"""Tables that cut lineage: the library's own, under the names that the operators use."""
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (a local session, as
-in tests) one under the machine's temporary folder is made and set.
-"""
+from ..sources.shared import drop as release
+from ..sources.shared import folder as shared_dir
+from ..sources.shared import keep as materialize
+from ..sources.shared import only
 
-from __future__ import annotations
-
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_live: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="gatelight-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
-    """Write df once as Parquet in the shared folder and return the table read back; ``by`` splits it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gatelight-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
-    _live.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release() -> None:
-    """Delete the tables made so far. For callers whose earlier results are already written."""
-    while _live:
-        spark, path = _live.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001 - the session may have ended; its folder ends with it
-            pass
-
-
-atexit.register(release)
+__all__ = ["materialize", "only", "release", "shared_dir"]
