@@ -1,7 +1,8 @@
 """The corpus pipeline: toxicity, line dedup, near-dedup, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir). ``run`` writes each stage's result as Parquet in the shared
-folder and reads it again as the next stage's documents.
+folder and reads it again as the next stage's documents; what the stage itself wrote on the way is deleted
+then. The last stage's tables stay until the session ends, as its result still reads them.
 """
 
 from __future__ import annotations
@@ -46,5 +47,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = scratch.materialize(stage(spark, docs, sf_dir))
+        docs = scratch.only(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
