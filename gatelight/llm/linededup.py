@@ -7,9 +7,12 @@
 3. Every line is probed. A line that the twice-seen filter doesn't hold is unique and goes nowhere;
    the suspected ones alone are shuffled, by their text, which confirms the repeat and finds the first
    occurrence. False positives of the filters cost a little shuffling and change nothing.
+4. Lines are taken out where the documents lie. The commonest repeated lines (``HOT_LINES`` at most, each of
+   ``HOT_BYTES`` at most, so of a known size) are broadcast with their first occurrences. Of the others the
+   removals go by document, and a filter of the ids that they touch lets all other documents pass unshuffled.
 
-The twice-seen filters are broadcast while they are small (``BROADCAST_BYTES``); beyond that the
-suspects are found by shuffling the lines' hashes, without their text, to the segments.
+The twice-seen filters and those of touched ids are broadcast while they are small (``BROADCAST_BYTES``);
+beyond that hashes, or the documents, are shuffled instead, with the same result.
 
 * A line is what stands between newlines. Lines shorter than ``min_chars`` characters, or of white
   space only, are kept wherever they stand.
@@ -17,7 +20,9 @@ suspects are found by shuffling the lines' hashes, without their text, to the se
   a doc_id count as one document; if such rows hold a line at the same number, both keep it.
 * A document that loses lines and keeps nothing but white space is dropped. One that had no text to
   begin with (empty, blank or null) is kept as it is.
-* Repeats within a document are removed too. Order and all other columns stay; n_chars follows.
+* Repeats within a document are removed too. Order and all other columns stay; n_chars follows. Other columns
+  are not read, whatever their names.
+* A text is handled in time linear in its lines, however many it has or loses. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -26,113 +31,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bloom
 from .scratch import materialize
 from .tables import field, free, with_text
+from .words import buffers, pieces
 
 MIN_CHARS = 10
 BROADCAST_BYTES = 64 << 20
-#: Documents to a segment, about.
-SEGMENT = 1 << 15
-_K, _BITS_EACH = 3, 16
-
-
-def _positions(h: np.ndarray, bits: int) -> np.ndarray:
-    """_K positions per 32-bit hash in a filter of 2^n bits."""
-    h = h.astype(np.uint64)
-    a, b = h * np.uint64(0x9E3779B97F4A7C15), (h * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
-    shift = np.uint64(64 - bits.bit_length() + 1)
-    return np.stack([(a + np.uint64(k) * b) >> shift for k in range(_K)])
-
-
-def _bits(n: int) -> int:
-    return 1 << max(6, (max(1, n) * _BITS_EACH - 1).bit_length())
-
-
-class Bloom:
-    """One byte a bit while it is built."""
-
-    def __init__(self, n: int) -> None:
-        self.bits = _bits(n)
-        self.set = np.zeros(self.bits, bool)
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        return self.set[_positions(h, self.bits)].all(0)
-
-    def add(self, h: np.ndarray) -> None:
-        self.set[_positions(h, self.bits)] = True
-
-
-def _holds(packed: np.ndarray, h: np.ndarray) -> np.ndarray:
-    p = _positions(h, len(packed) * 8)
-    return ((packed[p >> np.uint64(3)] >> (np.uint64(7) - (p & np.uint64(7))).astype(np.uint8)) & 1).all(0)
-
-
-def _split(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """Segment and the 32 bits that stand for the hash within it."""
-    h = h.view(np.uint64)
-    return (h >> np.uint64(40)).astype(np.int64) % segments, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-
-
-def _packets(segments: int):
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        n = 0
-
-        def out() -> pa.RecordBatch:
-            h, times = np.unique(np.concatenate(held), return_counts=True)
-            seg, low = _split(h, segments)
-            order = np.argsort(seg, kind="stable")
-            seg, low, times = seg[order], low[order], times[order]
-            at = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
-            end = np.append(at[1:], len(seg))
-            once = [low[a:b][times[a:b] == 1].tobytes() for a, b in zip(at, end)]
-            more = [low[a:b][times[a:b] > 1].tobytes() for a, b in zip(at, end)]
-            return pa.RecordBatch.from_arrays([pa.array(seg[at], pa.int64()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], ["seg", "once", "more"])
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch.column(0).to_numpy(zero_copy_only=False))
-                n += batch.num_rows
-            if n > 2_000_000:
-                yield out()
-                held, n = [], 0
-        if n:
-            yield out()
-
-    return pack
-
-
-def _merge(key: tuple, table: pa.Table) -> pa.Table:
-    once = [np.frombuffer(x, np.uint32) for x in table.column("once").to_pylist()]
-    more = [np.frombuffer(x, np.uint32) for x in table.column("more").to_pylist()]
-    seen = Bloom(sum(map(len, once)) + sum(map(len, more)))
-    twice = [x for x in more]
-    for x in more:
-        seen.add(x)
-    for x in once:
-        again = seen.has(x)
-        twice.append(x[again])
-        seen.add(x[~again])
-    found = np.unique(np.concatenate(twice))
-    result = Bloom(len(found))
-    result.add(found)
-    bits = np.packbits(result.set).tobytes() if len(found) else b""
-    return pa.table({"seg": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([bits], pa.binary())})
-
-
-def _probe(filters: dict[int, np.ndarray], segments: int, h: np.ndarray) -> np.ndarray:
-    seg, low = _split(h, segments)
-    hit = np.zeros(len(h), bool)
-    order = np.argsort(seg, kind="stable")
-    ranked = seg[order]
-    at = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(h) else []
-    for a, b in zip(at, np.append(at[1:], len(h))):
-        if (own := filters.get(int(ranked[a]))) is not None:
-            hit[order[a:b]] = _holds(own, low[order[a:b]])
-    return hit
+HOT_LINES, HOT_BYTES = 20_000, 1000
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -143,64 +53,127 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
 def suspects(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """id, pos, line of every line that may repeat: all that do, and few others."""
     lines = _lines(docs, min_chars)
-    segments = 16
-    n = docs.count()
-    while segments * SEGMENT < n:
-        segments *= 2
-    packets = lines.select("h").mapInArrow(_packets(segments), "seg long, once binary, more binary")
-    filters = materialize(packets.groupBy("seg").applyInArrow(_merge, "seg long, bits binary").where("length(bits) > 0"))
-    size = filters.agg(F.sum(F.length("bits"))).first()[0] or 0
+    # a line that counts has min_chars bytes and a newline, so this bounds the lines of a segment
+    total = docs.agg(F.sum(F.octet_length(field("text").cast("string")))).first()[0] or 0
+    segments = bloom.segments_for(total // (max(min_chars, 1) + 1))
+    pack = bloom.packer(segments)
+    filters = bloom.repeats(lines.select("h").mapInArrow(lambda it: pack(b.column(0).to_numpy(zero_copy_only=False) for b in it), bloom.PACKETS))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    if size <= broadcast_bytes:
-        shared = spark.sparkContext.broadcast({r.seg: np.frombuffer(bytes(r.bits), np.uint8) for r in filters.toLocalIterator()})
-
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hit = _probe(shared.value, segments, batch.column("h").to_numpy(zero_copy_only=False))
-                yield batch.filter(pa.array(hit)).select(["id", "pos", "line"])
+    if bloom.size(filters) > broadcast_bytes:
+        return lines.join(bloom.found_in(lines, filters, segments), "h", "left_semi").select("id", "pos", "line")
+    shared = bloom.shared(spark, filters)
 
-        return lines.mapInArrow(probe, f"id {kind}, pos int, line string")
-
-    def check(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        bits = {r["seg"]: np.frombuffer(r["bits"], np.uint8) for r in right.to_pylist()}
-        hit = _probe(bits, segments, left.column("h").combine_chunks().to_numpy(zero_copy_only=False))
-        return pa.table({"h": pa.array(np.unique(left.column("h").combine_chunks().to_numpy(zero_copy_only=False)[hit]), pa.int64())})
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = bloom.probe(shared.value, segments, batch.column("h").to_numpy(zero_copy_only=False))
+            yield batch.filter(pa.array(hit)).select(["id", "pos", "line"])
 
-    seg = F.pmod(F.shiftrightunsigned("h", 40), F.lit(segments))
-    hashes = lines.groupBy("h").agg(F.lit(1).alias("one")).select("h", seg.alias("seg"))
-    found = hashes.groupBy("seg").cogroup(filters.groupBy("seg")).applyInArrow(check, "h long")
-    return lines.join(found, "h", "left_semi").select("id", "pos", "line")
+    return lines.mapInArrow(probe, f"id {kind}, pos int, line string")
 
 
-def removals(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """id and the sorted line numbers that go, for each document that loses a line."""
+def repeated(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES, hot_lines: int = HOT_LINES) -> tuple[DataFrame, DataFrame]:
+    """The commonest repeated lines (line, first), and of all others what goes: id and the line numbers."""
     found = materialize(suspects(spark, docs, min_chars, broadcast_bytes).withColumn("at", F.struct(F.col("id").isNull().alias("last"), "id", "pos")))
-    first = found.groupBy("line").agg(F.min("at").alias("first"), F.max("at").alias("final")).where("first != final").select("line", "first")
-    return found.join(first, "line").where("at != first").groupBy("id").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
-
-
-def _kept(text: Column, gone: Column) -> Column:
-    return F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(gone, i)), "\n")
-
-
-def dedup(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    lines = materialize(found.groupBy("line").agg(F.min("at").alias("first"), F.max("at").alias("final"), F.count("*").alias("n")).where("first != final").select("line", "first", F.floor(F.log2("n")).cast("int").alias("e"), (F.octet_length("line") <= HOT_BYTES).alias("short")))
+    # lines by the power of two of their number: the commonest powers that together stay within the bound
+    room, least = hot_lines, 64
+    for r in sorted(lines.where("short").groupBy("e").count().collect(), key=lambda r: -r.e):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r.e
+    is_hot = F.col("short") & (F.col("e") >= least)
+    hot = lines.where(is_hot).select("line", "first")
+    others = found.join(F.broadcast(hot.select("line")), "line", "left_anti")
+    lost = others.join(lines.where(~is_hot).select("line", "first"), "line").where("at != first").groupBy("id").agg(F.collect_set("pos").alias("gone"))
+    return hot, lost
+
+
+def _remover(spark: SparkSession, hot: DataFrame):
+    """A function of (text, id, gone): the text without the lines at ``gone`` and without hot ones that stand elsewhere first."""
+    table = hot.select("line", F.col("first.id").alias("id"), F.col("first.pos").alias("pos")).toArrow().combine_chunks()
+    shared = spark.sparkContext.broadcast((table.column("line").combine_chunks(), table.column("id").combine_chunks(), table.column("pos").combine_chunks()))
+
+    def piece(text: pa.Array, ids: pa.Array, gone: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        known, first_id, first_pos = shared.value
+        n = len(text)
+        lists = pc.split_pattern(text, "\n")
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(size)])
+        flat = lists.flatten()
+        doc = np.repeat(np.arange(n), size)
+        pos = np.arange(at[-1]) - at[doc]
+        out = np.zeros(at[-1], bool)
+        if len(known):
+            which = pc.index_in(flat, known)
+            hit = np.flatnonzero(pc.is_valid(which).to_numpy(zero_copy_only=False))
+            if len(hit):
+                which = which.take(pa.array(hit))
+                mine, its = ids.take(pa.array(doc[hit])), first_id.take(which).cast(ids.type)
+                same = pc.fill_null(pc.equal(mine, its), False).to_numpy(zero_copy_only=False) | pc.and_(pc.is_null(mine), pc.is_null(its)).to_numpy(zero_copy_only=False)
+                out[hit] = ~(same & (pos[hit] == first_pos.take(which).to_numpy(zero_copy_only=False)))
+        many = pc.fill_null(pc.list_value_length(gone), 0).to_numpy(zero_copy_only=False)
+        if many.sum():
+            own = np.repeat(np.arange(n), many)
+            p = gone.flatten().to_numpy(zero_copy_only=False)
+            inside = p < size[own]  # rows that share an id needn't have as many lines
+            out[at[own[inside]] + p[inside]] = True
+        lost = np.bincount(doc[out], minlength=n)
+        touched = np.flatnonzero(lost)
+        if not len(touched):
+            return text, lost
+        stay = (lost[doc] > 0) & ~out
+        offs = np.concatenate([[0], np.cumsum((size - lost)[touched])])
+        left = pc.binary_join(pa.ListArray.from_arrays(pa.array(offs, pa.int32()), flat.filter(pa.array(stay))), pa.scalar("\n", text.type))
+        return pc.replace_with_mask(text, pa.array(lost > 0), left), lost
+
+    @F.arrow_udf("struct<text: string, n: int>")
+    def remove(text: pa.Array, ids: pa.Array, gone: pa.Array) -> pa.Array:
+        texts, counts = [], []
+        for lo, hi in pieces(buffers(text)[1]):
+            new, lost = piece(text.slice(lo, hi - lo), ids.slice(lo, hi - lo), gone.slice(lo, hi - lo))
+            texts.append(new)
+            counts.append(lost)
+        return pa.StructArray.from_arrays([pa.concat_arrays(texts) if texts else text, pa.array(np.concatenate(counts) if counts else [], pa.int32())], ["text", "n"])
+
+    return remove
+
+
+def _without(spark: SparkSession, docs: DataFrame, min_chars: int, broadcast_bytes: int, hot_lines: int, names: list[str]) -> DataFrame:
+    """docs with a struct column of the text that stays and the number of lines that went."""
+    new, key, gone = names
+    hot, lost = repeated(spark, docs, min_chars, broadcast_bytes, hot_lines)
+    lost = materialize(lost.select(F.col("id").alias(key), F.col("gone").alias(gone)))
+    remove = _remover(spark, hot)
+    text, own = field("text").cast("string"), field("doc_id")
+    n = lost.count()
+    segments = bloom.segments_for(n)
+    filters = bloom.members(lost.select(F.xxhash64(key)), segments)
+    if bloom.size(filters) > broadcast_bytes:
+        both = docs.join(lost, own.eqNullSafe(F.col(key)), "left")
+        return both.withColumn(new, remove(text, own, F.col(gone))).drop(key, gone)
+    touched = bloom.maybe(spark, filters, segments)(F.xxhash64(own))
+    none = F.lit(None).cast("array<int>")
+    aside = docs.where(~touched).withColumn(new, remove(text, own, none))
+    if n == 0:
+        return aside
+    both = docs.where(touched).join(lost, own.eqNullSafe(F.col(key)), "left")
+    return aside.unionByName(both.withColumn(new, remove(text, own, F.col(gone))).drop(key, gone))
+
+
+def dedup(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES, hot_lines: int = HOT_LINES) -> DataFrame:
     """docs without the repeated lines; a document left blank is dropped."""
-    key, gone = free(docs, "gl_id", "gl_gone")
-    lost = removals(spark, docs, min_chars, broadcast_bytes).select(F.col("id").alias(key), F.col("gone").alias(gone))
-    both = docs.join(lost, field("doc_id").eqNullSafe(F.col(key)), "left")
-    text = field("text").cast("string")
-    new = F.when(F.col(gone).isNull(), text).otherwise(_kept(text, F.col(gone)))
-    out = with_text(both.withColumn(key, new), F.col(key))
-    return out.where(F.col(gone).isNull() | F.rlike(field("text"), F.lit(r"[^ \t\n\x0B\f\r]"))).drop(key, gone)
+    names = free(docs, "gl_new", "gl_id", "gl_gone")
+    done = _without(spark, docs, min_chars, broadcast_bytes, hot_lines, names)
+    new = F.col(names[0])
+    stays = done.where((new["n"] == 0) | F.rlike(new["text"], F.lit(r"[^ \t\n\x0B\f\r]")))
+    return with_text(stays, new["text"]).select(*[field(c) for c in docs.columns])
 
 
-def report(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def report(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES, hot_lines: int = HOT_LINES) -> DataFrame:
     """doc_id, the text that stays, and how many lines went, for every document that isn't dropped."""
     own = docs.select(field("doc_id").alias("doc_id"), field("text").cast("string").alias("text"))
-    lost = removals(spark, own, min_chars).withColumnRenamed("id", "lost_id")
-    both = own.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")), "left")
-    gone = F.col("gone")
-    out = both.select("doc_id", F.when(gone.isNull(), F.col("text")).otherwise(_kept(F.col("text"), gone)).alias("text"), F.coalesce(F.size(gone), F.lit(0)).alias("n_removed"))
+    out = _without(spark, own, min_chars, broadcast_bytes, hot_lines, ["new", "lost_id", "gone"]).select("doc_id", "new.text", F.col("new.n").alias("n_removed"))
     return out.where((F.col("n_removed") == 0) | F.rlike("text", F.lit(r"[^ \t\n\x0B\f\r]")))
 
 

@@ -69,3 +69,33 @@ def test_sql(spark, small):
 
 def test_empty(spark, no_docs):
     assert ld.dedup(spark, no_docs).count() == ld.report(spark, no_docs).count() == 0
+
+
+@pytest.mark.parametrize("hot", [0, 3])
+def test_cold_and_hot_lines_alike(spark, docs, hot):
+    rows = ld.dedup(spark, docs, hot_lines=hot).select("doc_id", "text").collect()
+    assert sorted(str((r.doc_id, r.text)) for r in rows) == brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+
+
+def test_many_lines_in_linear_time(spark):
+    import time
+
+    lines = "\n".join(f"line number {i} of a long text" for i in range(100_000))
+    docs = spark.createDataFrame([(1, lines), (2, lines + "\nand one that is its own")], "doc_id long, text string")
+    ld.dedup(spark, docs.limit(0)).collect()
+    for hot in (0, ld.HOT_LINES):
+        began = time.time()
+        assert {r.doc_id: r.text for r in ld.dedup(spark, docs, hot_lines=hot).collect()} == {1: lines, 2: "and one that is its own"}
+        assert time.time() - began < 10
+
+
+def test_report_with_clashing_names(spark, docs):
+    clash = docs.withColumns({"new": F.lit("x"), "lost_id": F.lit(1), "gone": F.lit("y"), "line": F.lit("z"), "first": F.lit(0)})
+    got = ld.report(spark, clash).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in got) == brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+
+
+def test_ids_that_are_texts(spark):
+    rows = [("b", "one line of some length\nother"), ("a", "one line of some length"), (None, "one line of some length\nlast line of all"), ("c", "one line of some length\nkept")]
+    got = ld.dedup(spark, spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, [("a", rows[1][1]), ("b", "other"), ("c", "kept"), (None, "last line of all")]))
