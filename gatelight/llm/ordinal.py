@@ -10,9 +10,10 @@ and scaled to length one, so that long and short documents are alike.
 
 * Grades are the column ``grade`` of labels where there is one; else quality * (2 - toxic): 0 for a
   poor document, 1 for a good but toxic one, 2 for a good one (just quality, without a toxic column).
-  Grades are ranked, so any whole numbers serve.
+  Grades are ranked, so any numbers serve, fractions too; null, NaN and what is no number are left out.
 * Fitted on at most ``rows`` labelled rows (``linear.ROWS``), those with the least hashes of their ids;
-  scoring covers all rows.
+  scoring covers all rows. Only features that these rows hold have weights.
+* Labels with neither a grade nor a quality column count as none.
 * A null or blank text has no features and the score 0. Labels with fewer than two grades, or none,
   give every document the one grade (0 without labels), and tail probability 1.0 if it reaches the tail.
 * Repeated rows are each scored. Case is ignored. Other columns are not read.
@@ -20,7 +21,6 @@ and scaled to length one, so that long and short documents are alike.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .linear import ROWS, Sparse, sample
+from .linear import ROWS, Sparse, collected, sample
 from .tables import field
 from .words import Words, buffers, hash_spans, pieces
 
@@ -58,7 +58,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Ordinal:
-    grades: list[int]
+    grades: list[float]
     weights: np.ndarray
     cuts: np.ndarray
 
@@ -78,18 +78,20 @@ def fit_rows(row: np.ndarray, col: np.ndarray, y: np.ndarray, l2: float = 0.05,
     grades = np.unique(y)
     n, k = len(y), len(grades)
     if k < 2:
-        return Ordinal([int(g) for g in grades] or [0], np.zeros(1 << BITS), np.zeros(0))
+        return Ordinal([float(g) for g in grades] or [0.0], np.zeros(1 << BITS), np.zeros(0))
     rank = np.searchsorted(grades, y)
     size = np.maximum(np.bincount(row, minlength=n), 1)
-    x = Sparse(row, col, n, 1 << BITS, 1 / np.sqrt(size)[row])
+    seen, slot = np.unique(col, return_inverse=True)
+    w = len(seen)
+    x = Sparse(row, slot, n, w, 1 / np.sqrt(size)[row])
     share = np.array([(rank >= j).mean() for j in range(1, k)])
     at = -np.log(share / (1 - share))
-    theta = np.concatenate([np.zeros(1 << BITS), [at[0]], np.log(np.maximum(np.diff(at), 1e-3))])
+    theta = np.concatenate([np.zeros(w), [at[0]], np.log(np.maximum(np.diff(at), 1e-3))])
     m, v = np.zeros(len(theta)), np.zeros(len(theta))
     for t in range(1, steps + 1):
-        step = np.exp(theta[(1 << BITS) + 1 :])
-        cuts = theta[1 << BITS] + np.concatenate([[0], np.cumsum(step)])
-        p = np.column_stack([np.ones(n), _sigmoid(x.dot(theta[: 1 << BITS])[:, None] - cuts[None, :]), np.zeros(n)])
+        step = np.exp(theta[w + 1 :])
+        cuts = theta[w] + np.concatenate([[0], np.cumsum(step)])
+        p = np.column_stack([np.ones(n), _sigmoid(x.dot(theta[:w])[:, None] - cuts[None, :]), np.zeros(n)])
         up, low = p[np.arange(n), rank], p[np.arange(n), rank + 1]
         own = np.maximum(up - low, 1e-12)
         # derivatives of -log(own) by the score and by each cut
@@ -99,38 +101,31 @@ def fit_rows(row: np.ndarray, col: np.ndarray, y: np.ndarray, l2: float = 0.05,
         np.add.at(g_cut, rank, du / own)
         np.add.at(g_cut, rank + 1, -dl / own)
         g_cut = g_cut[1:k]
-        g = np.concatenate([x.tdot(g_score) + l2 * theta[: 1 << BITS], [g_cut.sum()], step * g_cut[::-1].cumsum()[::-1][1:]])
+        g = np.concatenate([x.tdot(g_score) + l2 * theta[:w], [g_cut.sum()], step * g_cut[::-1].cumsum()[::-1][1:]])
         m += 0.1 * (g - m)
         v += 0.02 * (g * g - v)
         theta -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.98**t)) + 1e-8) * (1 - 0.95 * t / steps)
-    step = np.exp(theta[(1 << BITS) + 1 :])
-    return Ordinal([int(g) for g in grades], theta[: 1 << BITS], theta[1 << BITS] + np.concatenate([[0], np.cumsum(step)]))
+    step = np.exp(theta[w + 1 :])
+    weights = np.zeros(1 << BITS)
+    weights[seen] = theta[:w]
+    return Ordinal([float(g) for g in grades], weights, theta[w] + np.concatenate([[0], np.cumsum(step)]))
 
 
 def graded(labels: DataFrame) -> DataFrame:
     names = {c.lower() for c in labels.columns}
     if "grade" in names:
-        grade = field("grade").cast("double")
+        grade = field("grade").try_cast("double")
+    elif "quality" in names:
+        grade = field("quality").try_cast("double") * (F.lit(2) - field("toxic").try_cast("double") if "toxic" in names else F.lit(1))
     else:
-        grade = field("quality").cast("double") * (F.lit(2) - field("toxic").cast("double") if "toxic" in names else F.lit(1))
+        grade = F.lit(None).cast("double")
     return labels.select(field("doc_id").alias("doc_id"), grade.alias("grade"))
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Ordinal:
-    got = sample(docs, graded(labels), ["grade"], rows).select(F.lower("text").alias("text"), "y_grade")
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offs = buffers(batch.column(0))
-            for lo, hi in pieces(offs):
-                doc, col = features(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                at = np.searchsorted(doc, np.arange(hi - lo + 1))
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(col, pa.int32())), batch.column(1).slice(lo, hi - lo)], ["f", "y"])
-
-    table = got.mapInArrow(scan, "f array<int>, y double").toArrow()
-    f = table.column("f").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
-    size = np.diff(f.offsets.to_numpy())
-    return fit_rows(np.repeat(np.arange(len(f)), size), f.values.to_numpy()[f.offsets.to_numpy()[0] :].astype(np.int64), table.column("y").to_numpy())
+    table = sample(docs, graded(labels), [F.col("grade")], ["grade"], rows, features)
+    f, y = collected(table, ["grade"])
+    return fit_rows(np.repeat(np.arange(len(f)), [len(x) for x in f]), np.concatenate(f).astype(np.int64) if f else np.zeros(0, np.int64), y["grade"])
 
 
 def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, tail: int = TAIL, cut: float = CUT, rows: int = ROWS) -> DataFrame:

@@ -6,20 +6,23 @@ give. Its features are those that positive rows hold more often, and their weigh
 a document's other words don't dilute what it holds. The earlier log-odds are out-of-fold while fitting: each row's come from models that didn't see it.
 When a document is scored, the models of the earlier categories are the ones fitted on all rows.
 
-A category's labels are its column in ``labels`` where there is one. A category with seed terms and no
-column takes as positive the rows that the last category (``toxic``) labels positive and whose text
-holds a seed term.
+The categories are those of ``CATEGORIES`` (or the parameter) that ``labels`` has as columns, whatever their
+case; the last, ``toxic``, is the one that decides. Where labels have no other than it, as the stored ones, the
+earlier links are learned: the toxic rows are parted into ``KINDS`` kinds by what they hold (spherical
+k-means over the chosen features), and each kind is a category, ``kind_1`` and so on.
 
 * Fitted on at most ``rows`` labelled rows (``linear.ROWS``), those with the least hashes of their
   ids; everything else covers all rows.
 * A null or empty text has the models' base probability, or 0.0 where nothing could be fitted: no
-  labelled row, or labels all of one kind (then that share, 0.0 or 1.0).
+  labelled row, no column of the last category in ``labels``, or labels all of one kind (then that share, 0.0 or 1.0).
+* Labels that are null, NaN or no number are left out; those above 0 are positive.
 * Case is ignored; whole texts are read. Repeated rows are each scored. Other columns are not read.
 * ``p >= cut`` is toxic, so a tie at the cut is toxic.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .linear import BITS, ROWS, Sparse, collected, informative, logistic, presence, sample
+from .linear import BITS, ROWS, Sparse, collected, informative, logistic, presence, sample, spread
 from .tables import field, free
 from .words import buffers, pieces
 
-#: In the chain's order. Seed terms serve only where labels have no such column.
-CATEGORIES = {"insult": ("idiot", "moron", "loser", "clown", "stupid"), "contempt": ("scum", "trash", "worthless", "pathetic", "disgusting"), "toxic": ()}
+#: In the chain's order; the last decides.
+CATEGORIES = ("obscene", "insult", "threat", "identity_hate", "severe_toxic", "toxic")
+KINDS = 2
 CUT = 0.3
 FEATURES = 6000
 FOLDS = 5
@@ -61,47 +65,107 @@ class Chain:
         return 1 / (1 + np.exp(-odds))
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, ...]] | None = None, rows: int = ROWS) -> Chain:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] | None = None, rows: int = ROWS) -> Chain:
     categories = categories or CATEGORIES
-    names, target = list(categories), list(categories)[-1]
-    known = [c for c in names if c in labels.columns]
-    got = sample(docs, labels, known, rows)
-    weak = [c for c in names if c not in known]
-    low = F.lower("text")
-    got = got.select(low.alias("text"), *[f"y_{c}" for c in known], *[(F.col(f"y_{target}") * F.rlike(low, F.lit(r"\b(" + "|".join(categories[c]) + r")\b")).cast("double") if categories[c] else F.lit(0.0)).alias(f"y_{c}") for c in weak])
-    feats, labelled = collected(got, known + weak)
-    return fit_rows(feats, {c: labelled[c] for c in names}, target)
-
-
-def fit_rows(feats: list[np.ndarray], y: dict[str, np.ndarray], target: str) -> Chain:
-    names, n = list(y), len(feats)
+    target = categories[-1]
+    place = {c.lower(): i for i, c in reversed(list(enumerate(labels.columns)))}
+    names = [c for c in categories if c.lower() in place]
+    if target not in names:
+        return fit_rows([], {c: np.zeros(0) for c in (*names, target)}, target)
+    # columns by place, for names that differ only in case
+    own = labels.toDF(*[f"c{i}" if i != place["doc_id"] else "doc_id" for i in range(len(labels.columns))])
+    table = sample(docs, own, [F.col(f"c{place[c.lower()]}") for c in names], names, rows, presence)
+    every = [F.sum((F.col(f"y_{c}") > 0).cast("long")) for c in names]
+    n, *positive = (table.agg(F.count("*"), *every)).first()
+    counts = table.select(F.explode("f").alias("x"), *[f"y_{c}" for c in names]).groupBy("x").agg(F.count("*").alias("n"), *[x.alias(c) for x, c in zip(every, names)]).toArrow()
+
+    def dense(name: str) -> np.ndarray:
+        out = np.zeros(1 << BITS)
+        out[counts.column("x").to_numpy()] = counts.column(name).to_numpy()
+        return out
+
+    df = dense("n")
+    chosen = np.unique(np.concatenate([informative(df, dense(c), n, p or 0, FEATURES) for c, p in zip(names, positive)]))
+    # only the chosen features leave the executors
+    if len(chosen):
+        known = spark.createDataFrame(pa.table({"x": pa.array(chosen, pa.int32())}))
+        mine = table.select("id", F.explode("f").alias("x")).join(F.broadcast(known), "x").groupBy("id").agg(F.array_sort(F.collect_list("x")).alias("f"))
+        table = table.drop("f").join(mine, "id", "left").withColumn("f", F.coalesce("f", F.array().cast("array<int>")))
+    else:
+        table = table.withColumn("f", F.array().cast("array<int>"))
+    feats, y = collected(table, names)
+    return fit_rows(feats, y, target, chosen, spread(spark))
+
+
+def kinds(x: Sparse, toxic: np.ndarray, many: int, steps: int = 10) -> np.ndarray:
+    """For each row the kind of toxic row that it is, from 0; -1 for others. Spherical k-means, begun at the rows least like the mean."""
+    at = np.flatnonzero(toxic)
+    own = x.take(at)
+    size = np.maximum(np.sqrt(np.bincount(own.row, minlength=own.n)), 1)
+
+    def centre(rows: np.ndarray) -> np.ndarray:
+        c = own.tdot(rows / size)
+        return c / max(np.sqrt((c * c).sum()), 1e-12)
+
+    centres = [centre(np.ones(own.n))]
+    near = own.dot(centres[0]) / size
+    for _ in range(many):
+        first = np.zeros(own.n)
+        first[int(np.argmin(near))] = 1
+        centres.append(centre(first))
+        near = np.maximum(near, own.dot(centres[-1]) / size)
+    centres = centres[1:]
+    for _ in range(steps):
+        best = np.argmax(np.stack([own.dot(c) / size for c in centres]), 0)
+        centres = [centre((best == k).astype(float)) if (best == k).any() else c for k, c in enumerate(centres)]
+    out = np.full(x.n, -1)
+    out[at] = best
+    return out
+
+
+def fit_rows(feats: list[np.ndarray], y: dict[str, np.ndarray], target: str, chosen: np.ndarray | None = None, run: Callable = lambda work, jobs: [work(j) for j in jobs]) -> Chain:
+    """The chain from rows of features. ``run`` maps a function over jobs; each category's folds are one such job each."""
+    n = len(feats)
     row = np.repeat(np.arange(n), [len(f) for f in feats])
     col = np.concatenate(feats).astype(np.int64) if n else np.zeros(0, np.int64)
-    chosen = np.unique(np.concatenate([informative(row, col, y[c], FEATURES, raising=True) for c in names])) if n else np.zeros(0, np.int64)
+    if chosen is None:
+        df = np.bincount(col, minlength=1 << BITS)
+        chosen = np.unique(np.concatenate([informative(df, np.bincount(col, (y[c] > 0)[row].astype(float), 1 << BITS), n, float((y[c] > 0).sum()), FEATURES) for c in y])) if n else np.zeros(0, np.int64)
     slot = np.full(1 << BITS, len(chosen), np.int32)
     slot[chosen] = np.arange(len(chosen))
     keep = slot[col] < len(chosen)
     x = Sparse(row[keep], slot[col[keep]].astype(np.int64), n, len(chosen))
+    y = {c: (v > 0).astype(float) for c, v in y.items()}
+    if len(y) == 1 and 0 < y[target].sum() < n:
+        kind = kinds(x, y[target] > 0, KINDS)
+        y = {f"kind_{k + 1}": (kind == k).astype(float) for k in range(KINDS)} | y
+    elif len(y) == 1:
+        y = {f"kind_{k + 1}": np.zeros(n) for k in range(KINDS)} | y
+    names = list(y)
     fold = np.arange(n) % FOLDS  # the rows come in the order of their ids' hashes
     weights, feed, bias = np.zeros((len(chosen) + 1, len(names))), [], np.zeros(len(names))
     earlier = np.zeros((n, 0))
     for k, name in enumerate(names):
-        own = (y[name] > 0).astype(float)
+        own = y[name]
         if not 0 < own.sum() < n:
             feed.append(np.zeros(k))
             bias[k] = 30.0 if n and own.all() else -30.0
             earlier = np.column_stack([earlier, np.full(n, bias[k])])
             continue
-        weights[:-1, k], f, bias[k] = logistic(x, earlier, own)
+
+        def without(j: int, x=x, earlier=earlier, own=own) -> tuple:
+            """The model of the rows outside fold j (all rows at -1), and what it gives those within."""
+            a, b = np.flatnonzero(fold != j), np.flatnonzero(fold == j)
+            w, f, c = logistic(x.take(a), earlier[a], own[a])
+            return w, f, c, np.clip(x.take(b).dot(w) + earlier[b] @ f + c, -30, 30)
+
+        last = k + 1 == len(names)
+        (weights[:-1, k], f, bias[k], _), *folds = run(without, [-1] if last else [-1, *range(min(FOLDS, n))])
         feed.append(f)
-        if k + 1 < len(names):
-            out = np.zeros(n)
-            for j in range(FOLDS):
-                a, b = np.flatnonzero(fold != j), np.flatnonzero(fold == j)
-                if len(a) and len(b):
-                    w, f, c = logistic(x.take(a), earlier[a], own[a])
-                    out[b] = np.clip(x.take(b).dot(w) + earlier[b] @ f + c, -30, 30)
-            earlier = np.column_stack([earlier, out])
+        out = np.zeros(n)
+        for j, (_, _, _, odds) in enumerate(folds):
+            out[fold == j] = odds
+        earlier = np.column_stack([earlier, out])
     return Chain(names, slot, weights, feed, bias)
 
 
@@ -117,7 +181,7 @@ def probabilities(spark: SparkSession, chain: Chain, text: Column) -> Column:
     return score(F.lower(text.cast("string")))
 
 
-def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, cut: float = CUT, rows: int = ROWS, categories: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, cut: float = CUT, rows: int = ROWS, categories: tuple[str, ...] | None = None) -> DataFrame:
     """doc_id, one probability a category, and whether the document is toxic."""
     chain = fit(spark, docs, labels, categories, rows)
     own = docs.select(field("doc_id").alias("doc_id"), probabilities(spark, chain, field("text")).alias("p"))
