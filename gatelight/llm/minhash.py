@@ -6,19 +6,23 @@ shingles. A table is a pair of bands, one of either collection: groups x groups
 the defaults 40 minhashes give 100 tables of four; a pair of Jaccard similarity s shares one with
 probability (1 - (1 - s^2)^10)^2: 0.89 at s = 0.5, 0.98 at 0.6, 0.998 at 0.7.
 
-Candidates are verified on their whole shingle sets. Verification goes by rounds that skip what is
-settled: first each bucket's members against its least member, then against the least member of its
-least component; at last every pair of a bucket that is neither tested nor already connected. So the
-groups are those that testing all candidate pairs would give, whatever a bucket's size, while a
-bucket of n true copies takes about n tests instead of n * n / 2.
+Table keys that only one document has go nowhere: a twice-seen Bloom filter finds the others. Candidates
+are verified on their whole shingle sets, which the texts are turned into where they lie, for candidates only.
+Verification goes by rounds that skip what is settled: first each bucket's members against its least member,
+then against the least member of its least component; at last the members of a bucket that aren't all
+connected meet in blocks of ``BLOCK``, which are compared by one matrix product each. So the groups are
+those that testing all candidate pairs would give, whatever a bucket's size, while a bucket of n true copies
+takes about n tests, and no pair but a verified one is ever written down.
 
 * Shingles are ``n`` neighbouring words, lower-cased, cut at ASCII white space; a text of fewer words
   is one shingle. Texts of the same words in the same order are copies without further test.
 * Groups are the connected components of verified pairs with similarity >= ``least``; ties at the
   threshold count. The document with the least doc_id of a group stays.
-* Rows that share a doc_id count as one document: the row with the least text that has a word is taken, and stays.
+* Rows that share a doc_id and a text are one document, and one of them stays if it does. Rows that share a
+  doc_id with different texts are documents of their own (the lesser is the one whose text has the lesser
+  hash), so no text goes without a near-duplicate that stays.
 * Rows with a null doc_id, a null text or no word are in no group and always stay.
-* Empty tables give empty results. Other columns are not read.
+* Empty tables give empty results. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,9 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bloom
 from .scratch import materialize
 from .tables import field, free
 from .words import SPACE_CLASS, Words, buffers, mix, ngrams, pieces
@@ -37,6 +42,10 @@ from .words import SPACE_CLASS, Words, buffers, mix, ngrams, pieces
 LEAST = 0.5
 N = 3
 GROUPS, BAND = 10, 2
+#: Members of a bucket that are compared with one another, or with another such block, in one step.
+BLOCK = 256
+#: Filters up to this size are broadcast; beyond it rows are shuffled instead, with the same result.
+BROADCAST_BYTES = 64 << 20
 
 _A = np.random.Generator(np.random.PCG64(77)).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -93,18 +102,45 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], ["id", "s"])
 
 
-def one_row_each(docs: DataFrame) -> DataFrame:
-    """id and lower-cased text, one row a doc_id; rows without an id or a word left out."""
+def _worded(text: Column) -> Column:
+    return F.rlike(text, F.lit(SPACE_CLASS.replace("[", "[^")))
+
+
+def _keys(bands: np.ndarray, groups: int) -> np.ndarray:
+    """Each table's key of each document, from one band of either collection."""
+    i, j = np.divmod(np.arange(groups * groups), groups)
+    return mix(bands[:, i] * _A[250] + bands[:, groups + j] * _A[251] + np.arange(1, groups * groups + 1).astype(np.uint64) * _A[252])
+
+
+def _bands(batch: pa.RecordBatch, groups: int) -> np.ndarray:
+    column = batch.column("bands")
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(column), 2 * groups)
+
+
+def documents(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(id, lower-cased text) of every row that has an id and a word, and the ids that occur more than once, if any.
+
+    If any do, an id is a struct of the doc_id and the text's hash, so rows with different texts are apart.
+    """
     own = docs.select(field("doc_id").alias("id"), field("text").cast("string").alias("text")).where(F.col("id").isNotNull() & _worded(F.col("text")))
     again = materialize(own.groupBy("id").count().where("count > 1").select("id"))
-    if not again.isEmpty():
-        least = own.join(again, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-        own = own.join(again, "id", "left_anti").unionByName(least)
-    return own.select("id", F.lower("text").alias("text"))
+    if again.isEmpty():
+        return own.select("id", F.lower("text").alias("text")), None
+    return own.select(_apart(F.col("id"), F.col("text")).alias("id"), F.lower("text").alias("text")), again
 
 
-def _worded(text: Column) -> Column:
-    return F.rlike(text, F.lit(SPACE_CLASS.replace("[", "[^")))
+def _apart(key: Column, text: Column) -> Column:
+    return F.struct(key.alias("id"), F.xxhash64(text).alias("v"))
+
+
+def held(spark: SparkSession, rows: DataFrame, key: Column, keys: DataFrame, broadcast_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """rows split in two: those whose key the filter of ``keys`` doesn't hold, and the few others, which it may."""
+    segments = bloom.segments_for(keys.count())
+    filters = bloom.members(keys.select(F.xxhash64(keys.columns[0])), segments)
+    if bloom.size(filters) > broadcast_bytes:
+        return rows.limit(0), rows
+    maybe = bloom.maybe(spark, filters, segments)(F.xxhash64(key))
+    return rows.where(~maybe), rows.where(maybe)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -121,65 +157,142 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("id", "label")
 
 
-def groups_of(spark: SparkSession, docs: DataFrame, least: float = LEAST, n: int = N, groups: int = GROUPS, band: int = BAND) -> DataFrame:
-    """id, group for every document that has a near-duplicate; group is the least id among them."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    text = one_row_each(docs)
-    signed = text.mapInArrow(lambda it: _signed(it, n, groups, band), f"id {kind}, k1 long, k2 long, bands array<bigint>")
-    signed = materialize(signed)
-    alike = signed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    alike = materialize(alike)
-    copies = signed.join(alike.where("n > 1"), ["k1", "k2"]).where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
-    reps = signed.join(alike, ["k1", "k2"]).where("id = rep").select("id", "bands").dropDuplicates(["id", "bands"])
-    pair = F.explode(F.expr(f"flatten(transform(sequence(0, {groups - 1}), i -> transform(sequence(0, {groups - 1}), j -> xxhash64(i, j, bands[i], bands[{groups} + j]))))"))
-    keyed = reps.select(pair.alias("key"), "id")
-    bucket = Window.partitionBy("key")
-    member = keyed.withColumn("lead", F.min("id").over(bucket)).withColumn("other", F.max("id").over(bucket)).where("lead != other").select("key", "id", "lead")
-    member = materialize(member)
-    active = member.select("id").distinct()
-    sets = materialize(text.join(active, "id").mapInArrow(lambda it: _sets(it, n), f"id {kind}, s array<int>"))
-    left, right = (sets.select(F.col("id").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
+def _members(spark: SparkSession, reps: DataFrame, kind: str, groups: int, broadcast_bytes: int) -> DataFrame:
+    """key, id, lead of every document in every table's bucket of two documents or more; lead is the least of them."""
+    segments = bloom.segments_for(reps.count() * groups * groups)
+    pack = bloom.packer(segments)
+    filters = bloom.repeats(reps.select("bands").mapInArrow(lambda it: pack(_keys(_bands(b, groups), groups).view(np.int64).ravel() for b in it), bloom.PACKETS))
+
+    def keyed(batches: Iterator[pa.RecordBatch], own=None) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = _keys(_bands(batch, groups), groups).view(np.int64).ravel()
+            at = np.flatnonzero(bloom.probe(own.value, segments, key)) if own else np.arange(len(key))
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), batch.column("id").take(pa.array(at // (groups * groups)))], ["key", "id"])
+
+    schema = f"key long, id {kind}"
+    if bloom.size(filters) > broadcast_bytes:
+        every = reps.select("id", "bands").mapInArrow(keyed, schema)
+        found = every.join(bloom.found_in(every.select(F.col("key").alias("h")), filters, segments), F.col("key") == F.col("h"), "left_semi")
+    else:
+        own = bloom.shared(spark, filters)
+        found = reps.select("id", "bands").mapInArrow(lambda it: keyed(it, own), schema)
+    found = materialize(found)
+    lead = found.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("other")).where("lead != other").select("key", "lead")
+    return materialize(found.join(lead, "key"))
+
+
+def _codes(ids: pa.Array) -> np.ndarray:
+    """Numbers that are equal where the ids are."""
+    if not pa.types.is_struct(ids.type):
+        return ids.dictionary_encode().indices.to_numpy()
+    first, second = (_codes(x).astype(np.int64) for x in ids.flatten())
+    return first * (second.max(initial=0) + 1) + second
+
+
+def _compare(table: pa.Table, least: float) -> pa.Table:
+    """The verified pairs of a block, or between two blocks (``side`` 0 and 1), that have different labels."""
+    s = table.column("s").combine_chunks()
+    size = s.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    side, label = table.column("side").to_numpy(), _codes(table.column("label").combine_chunks())
+    owner, value = np.repeat(np.arange(len(size)), size), s.flatten().to_numpy(zero_copy_only=False)
+    _, at, times = np.unique(value, return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1  # only what two of them hold
+    keep = times[at] > 1
+    owner, at = owner[keep], place[at[keep]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    common = np.zeros((len(size), len(size)), np.float32)
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
+        a, b = np.searchsorted(at, [lo, lo + 4096])
+        x = np.zeros((len(size), 4096), np.float32)
+        x[owner[a:b], at[a:b] - lo] = 1
+        common += x @ x.T
+    good = common >= least * (size[:, None] + size[None, :] - common)
+    good &= label[:, None] != label[None, :]
+    good &= (side[:, None] < side[None, :]) if side.any() else np.triu(np.ones(good.shape, bool), 1)
+    i, j = np.nonzero(good)
+    ids = table.column("id").combine_chunks()
+    return pa.table({"a": ids.take(pa.array(i)), "b": ids.take(pa.array(j))})
+
+
+def _grouped(spark: SparkSession, docs: DataFrame, least: float, n: int, groups: int, band: int, block: int, broadcast_bytes: int) -> tuple[DataFrame, DataFrame | None]:
+    """id, group for every document that has a near-duplicate, and the doc_ids of several rows, as ``documents`` gives them."""
+    text, again = documents(docs)
+    kind = text.schema["id"].dataType.simpleString()
+    signed = materialize(text.mapInArrow(lambda it: _signed(it, n, groups, band), f"id {kind}, k1 long, k2 long, bands array<bigint>"))
+    alike = materialize(signed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"))
+    copies = materialize(signed.select("id", "k1", "k2").join(alike, ["k1", "k2"]).where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct())
+    alone, some = held(spark, signed, F.col("k1"), alike.select("k1"), broadcast_bytes)
+    several = some.join(alike.select("k1", "k2", "rep"), ["k1", "k2"], "left").where("rep is null or id = rep").select("id", "bands").dropDuplicates(["id"])
+    reps = materialize(alone.select("id", "bands").unionByName(several))
+    member = _members(spark, reps, kind, groups, broadcast_bytes)
+    active = materialize(member.select("id").distinct())
+    _, some = held(spark, text, F.col("id"), active, broadcast_bytes)
+    sets = materialize(some.mapInArrow(lambda it: _sets(it, n), f"id {kind}, s array<int>").join(active, "id", "left_semi").dropDuplicates(["id"]))
+    size = sets.select("id", F.size("s").alias("n"))
+
+    def end(x: str, value: DataFrame, name: str) -> DataFrame:
+        return value.select(F.col("id").alias(x), F.col(name).alias(f"{name}{x}"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(left, "a").join(right, "b")
+        # sizes alone rule out many; sets go only to the others
+        fit = pairs.join(end("a", size, "n"), "a").join(end("b", size, "n"), "b").where(F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb")).select("a", "b")
+        both = fit.join(end("a", sets, "s"), "a").join(end("b", sets, "s"), "b")
         common = F.size(F.array_intersect("sa", "sb"))
-        return materialize(both.where(common >= F.lit(least) * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct())
+        return materialize(both.where(common >= F.lit(least) * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
 
-    tested = materialize(member.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
-    edges = verified(tested)
-    for last in (False, True):
+    def mixed(edges: DataFrame) -> DataFrame:
+        """key, id, label, top of the buckets that hold more than one component; top is the least of (label, id)."""
         label = components(edges)
         known = member.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-        top = F.min(F.struct("label", "id")).over(bucket)
-        mixed = materialize(known.withColumn("top", top).withColumn("end", F.max("label").over(bucket)).where("top.label != end"))
-        if last:
-            x, y = (mixed.select("key", F.col("id").alias(k), F.col("label").alias(f"l{k}")) for k in "ab")
-            more = x.join(y, "key").where("la != lb and a < b").select("a", "b")
-        else:
-            more = mixed.where("label != top.label").select(F.least("top.id", "id").alias("a"), F.greatest("top.id", "id").alias("b"))
-        more = materialize(more.distinct().join(tested, ["a", "b"], "left_anti"))
-        tested = tested.union(more)
-        edges = edges.union(verified(more))
-    return components(edges.union(copies)).select("id", F.col("label").alias("group"))
+        ends = known.groupBy("key").agg(F.min(F.struct("label", "id")).alias("top"), F.max("label").alias("end"), F.count("*").alias("n")).where("top.label != end")
+        return materialize(known.join(ends, "key").select("key", "id", "label", "top", "n"))
+
+    tested = materialize(member.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
+    edges = verified(tested)
+    left = mixed(edges)
+    if not left.isEmpty():
+        more = left.where("label != top.label").select(F.least("top.id", "id").alias("a"), F.greatest("top.id", "id").alias("b")).distinct()
+        more = materialize(more.join(tested, ["a", "b"], "left_anti"))
+        edges = edges.unionByName(verified(more))
+        left = mixed(edges)
+    if not left.isEmpty():
+        blocks = F.ceil(F.col("n") / block).cast("int")
+        own = left.select("key", "id", "label", F.pmod(F.xxhash64("id", "key"), blocks).cast("int").alias("own"), blocks.alias("blocks"))
+        each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        each = each.select("key", "id", "label", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
+        last = each.join(sets, "id").groupBy("key", "p", "q").applyInArrow(lambda table: _compare(table, least), f"a {kind}, b {kind}")
+        edges = edges.unionByName(materialize(last.distinct()))
+    return components(edges.unionByName(copies)).select("id", F.col("label").alias("group")), again
+
+
+def groups_of(spark: SparkSession, docs: DataFrame, least: float = LEAST, n: int = N, groups: int = GROUPS, band: int = BAND, block: int = BLOCK, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """id, group for every document that has a near-duplicate; group is the least doc_id among them."""
+    found, again = _grouped(spark, docs, least, n, groups, band, block, broadcast_bytes)
+    return found if again is None else found.select("id.id", F.col("group.id").alias("group"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, kept_id, group_size for every document of a group; kept_id is the one that stays."""
-    found = groups_of(spark, docs, least)
+    found, again = _grouped(spark, docs, least, N, GROUPS, BAND, BLOCK, BROADCAST_BYTES)
     size = found.groupBy("group").agg(F.count("*").alias("group_size"))
-    return found.join(size, "group").select(F.col("id").alias("doc_id"), F.col("group").alias("kept_id"), "group_size")
+    pick = (lambda c: c) if again is None else (lambda c: f"{c}.id")
+    return found.join(size, "group").select(F.col(pick("id")).alias("doc_id"), F.col(pick("group")).alias("kept_id"), "group_size")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """docs with one document of each group, and one row of each doc_id; all columns as they were."""
-    gone = groups_of(spark, docs, least).where("id != group").select("id")
-    (key, text) = free(docs, "gl_id", "gl_text")
-    gone = gone.select(F.col("id").alias(key))
-    out = docs.join(gone, field("doc_id") == F.col(key), "left_anti")
-    again = materialize(docs.groupBy(field("doc_id").alias(key)).count().where(F.col(key).isNotNull() & (F.col("count") > 1)).select(key))
-    if again.isEmpty():
+def keep_one(spark: SparkSession, docs: DataFrame, least: float = LEAST, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """docs with one document of each group, and one row of each document; all columns as they were."""
+    found, again = _grouped(spark, docs, least, N, GROUPS, BAND, BLOCK, broadcast_bytes)
+    key, row = free(docs, "gl_id", "gl_row")
+    gone = materialize(found.where("id != group").select(F.col("id").alias(key)))
+    own = field("doc_id") if again is None else _apart(field("doc_id"), field("text").cast("string"))
+    aside, some = held(spark, docs, own, gone, broadcast_bytes)
+    out = aside.unionByName(some.join(gone, own == F.col(key), "left_anti"))
+    if again is None:
         return out
-    twice = out.join(again, field("doc_id") == F.col(key), "left_semi")
-    rank = F.row_number().over(Window.partitionBy(field("doc_id")).orderBy(~F.coalesce(_worded(field("text").cast("string")), F.lit(False)), field("text"), F.xxhash64(*[field(c) for c in docs.columns])))
-    one = twice.withColumn(text, rank).where(F.col(text) == 1).drop(text)
-    return out.join(again, field("doc_id") == F.col(key), "left_anti").unionByName(one)
+    # of rows that share both, any one; a table of such rows alone has their ids
+    single = field("doc_id").isNull() | ~F.coalesce(_worded(field("text").cast("string")), F.lit(False))
+    aside, some = held(spark, out, field("doc_id"), again, broadcast_bytes)
+    every = [field(c) for c in docs.columns]
+    one = some.where(~single).groupBy(field("doc_id"), field("text")).agg(F.min_by(F.struct(*every), F.xxhash64(*every)).alias(row)).select(f"{row}.*")
+    return aside.unionByName(some.where(single)).unionByName(one)

@@ -89,7 +89,52 @@ def test_two_texts_of_an_id(spark):
     copied, alone = "these words stand in two of the documents here", "a text of its own that has no copy at all"
     rows = [(1, copied), (2, copied), (2, alone), (3, None), (3, "another text that is nowhere else to be found")]
     got = mh.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {(r.doc_id, r.text) for r in got} == {rows[0], rows[2], rows[4]}
+    assert {(r.doc_id, r.text) for r in got} == {rows[0], rows[2], rows[3], rows[4]}
+
+
+def test_no_text_goes_without_a_kept_copy(spark):
+    """Ids that share different, null and blank texts, and repeated rows, against a plain loop."""
+    import random
+
+    rng = random.Random(4)
+    pool = [words(rng, 12, 5000) for _ in range(25)]
+    pool += [" ".join(["other", *t.split()[1:]]) for t in pool[:12]]  # near copies of the first ones
+    rows = [(rng.randrange(40), rng.choice(pool)) for _ in range(120)] + [(i, x) for i in range(6) for x in (None, "", " \n")] + [(None, pool[0]), (None, None)]
+    got = [(r.doc_id, r.text) for r in mh.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    judged = sorted({(i, t) for i, t in rows if i is not None and t and t.split()})
+    edges = [(a, b) for a in judged for b in judged if a < b and jaccard(shingle_set(a[1]), shingle_set(b[1])) >= mh.LEAST]
+    want = components(judged, edges)
+    kept = [x for x in got if x in want]
+    assert len(kept) == len(set(kept)) == len({*want.values()})  # one row of one document of each group
+    assert {want[x] for x in kept} == {*want.values()}
+    assert min(x[0] for x in kept) == min(x[0] for x in judged) and all(x[0] == want[x][0] for x in kept)
+    rest = lambda table: sorted(map(str, (x for x in table if x not in want)))
+    assert rest(got) == rest(rows)
+    report = {(r.doc_id, r.kept_id) for r in mh.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert report == {(x[0], want[x][0]) for x in judged if sum(g == want[x] for g in want.values()) > 1}
+
+
+@pytest.mark.parametrize(("block", "limit"), [(2, mh.BROADCAST_BYTES), (256, -1)])
+def test_blocks_and_shuffled_filters(spark, docs, block, limit):
+    """Small blocks, and filters too large to broadcast, give the same groups."""
+    want = {(r.id, r.group) for r in mh.groups_of(spark, docs).collect()}
+    assert want and {(r.id, r.group) for r in mh.groups_of(spark, docs, block=block, broadcast_bytes=limit).collect()} == want
+
+
+def test_blocks_find_every_pair():
+    """All pairs of a block and between two blocks, by sets."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    sets = [sorted(rng.sample(range(30), rng.randint(3, 20))) for _ in range(40)]
+    table = pa.table({"id": pa.array(range(40)), "label": pa.array([i // 2 for i in range(40)]), "s": pa.array(sets, pa.list_(pa.int32())), "side": pa.array([0] * 40)})
+    alike = {(i, j) for i in range(40) for j in range(i + 1, 40) if i // 2 != j // 2 and jaccard(set(sets[i]), set(sets[j])) >= 0.4}
+    got = mh._compare(table, 0.4).to_pylist()
+    assert {(r["a"], r["b"]) for r in got} == alike and alike
+    apart = table.set_column(3, "side", pa.array([i % 2 for i in range(40)]))
+    assert {tuple(sorted((r["a"], r["b"]))) for r in mh._compare(apart, 0.4).to_pylist()} == {e for e in alike if e[0] % 2 != e[1] % 2}
 
 
 def test_many_copies_and_empty(spark, no_docs):
