@@ -130,8 +130,11 @@ def ratio_of(a: str | None, b: str | None) -> float:
     return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
 
 
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, with the longer text's characters as the bits of one number."""
+def lcs(a: str, b: str, least: float = 0) -> int:
+    """Length of the longest common subsequence, with the longer text's characters as the bits of one number.
+
+    Once ``least`` is out of reach, whatever follows, it stops: then what it returns is under ``least`` as well.
+    """
     if len(a) < len(b):
         a, b = b, a
     at: dict[str, int] = {}
@@ -139,10 +142,12 @@ def lcs(a: str, b: str) -> int:
         at[c] = at.get(c, 0) | 1 << i
     full = (1 << len(a)) - 1
     rows = full
-    for c in b:
+    for k, c in enumerate(b):
         if hit := at.get(c):
             u = rows & hit
             rows = ((rows + u) | (rows - u)) & full
+        if not k & 63 and len(a) - rows.bit_count() + len(b) - k - 1 < least:
+            break
     return len(a) - rows.bit_count()
 
 
@@ -156,7 +161,8 @@ def ratio_from(threshold: float):
     @F.arrow_udf("double")
     def ratio(a: pa.Array, b: pa.Array) -> pa.Array:
         def one(x: str | None, y: str | None) -> float | None:
-            if not x or not y or 2 * lcs(x, y) < threshold * (len(x) + len(y)):
+            need = threshold * (len(x or "") + len(y or "")) / 2
+            if not x or not y or lcs(x, y, need) < need:
                 return None
             found = ratio_of(x, y)
             return found if found >= threshold else None

@@ -67,7 +67,13 @@ def has_email(text: Column) -> Column:
 
 
 def percent(share: Column) -> Column:
-    return F.format_string("%.0f%%", share * 100)
+    """A whole percentage, halves to the even number."""
+    return F.concat(F.bround(share * 100, 0).cast("int").cast("string"), F.lit("%"))
+
+
+def padded(text: Column, width: int) -> Column:
+    """Blanks after a text up to a width; a longer one is whole."""
+    return F.when(F.length(text) < width, F.rpad(text, width, " ")).otherwise(text)
 
 
 def clipped(text: Column, most: int) -> Column:

@@ -68,6 +68,21 @@ def checks(fetches: DataFrame, strict: bool = False, exact: bool = False) -> Dat
     return own.select("site", F.posexplode(F.array(complete(strict), identity())).alias("pos", "c")).select("site", "pos", "c.*")
 
 
+#: Links to a person's or a company's profile.
+PROFILE = r"(?i)href=[\"']https?://([a-z]+\.)?(linkedin\.com|github\.com|twitter\.com|x\.com)/"
+
+
+def trust(fetches: DataFrame, exact: bool = False) -> DataFrame:
+    """site, contact, profile: whether the about or the contact page names a way of contact, and the about page links
+    to a profile. Null where neither says so and a page wasn't fetched."""
+    own = _texts(fetches, exact)
+    about, contact = (F.coalesce(F.col(f"{p}.status"), F.lit(0)) for p in ("about", "contact"))
+    named = ((about == 200) & text.any_phrase(F.col("about_text"), text.CONTACT)) | ((contact == 200) & (text.has_email(F.col("contact_text")) | text.any_phrase(F.col("contact_text"), text.CONTACT)))
+    known = about.isin(200, 404) & contact.isin(200, 404)
+    linked = F.rlike(F.coalesce("about.body", F.lit("")), F.lit(PROFILE))
+    return own.select("site", F.when(named, True).when(known, False).alias("contact"), F.when(about == 200, linked).alias("profile"))
+
+
 def summary(found: DataFrame) -> DataFrame:
     fails, high = F.count_if(F.col("status").isin("FAIL", "ERROR")), F.count_if(F.col("status") == "HIGH_RISK")
     message = F.when(fails > 0, F.concat(fails.cast("string"), F.lit(" failed"))).when(high > 0, F.concat(high.cast("string"), F.lit(" at high risk"))).otherwise("all passed")

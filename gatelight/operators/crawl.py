@@ -57,3 +57,10 @@ def crawl(fetches: DataFrame, starts: DataFrame, depth: int = DEPTH, save: Calla
     own = records.withColumn("_m", meta) if exact else records
     cols = {k: (html.or_else(F.col(f"_m.{'description' if k == 'meta_description' else k}"), stand) if exact else metadata(F.col("body"))[k]) for k, stand in (("title", "[no title]"), ("meta_description", "[none]"), ("h1", "[no h1]"))}
     return own.select("site", "depth", "rank", F.when(good, F.coalesce("final_url", "url")).otherwise(F.col("url")).alias("url"), F.when(good, F.col("status")).alias("status"), *[F.when(good, c).alias(k) for k, c in cols.items()], F.when(good, F.length("body")).alias("content_length"), "error")
+
+
+def lines(records: DataFrame) -> DataFrame:
+    """One console line a record: status, the URL to 70 characters, the title to 60."""
+    status = F.lpad(F.coalesce(F.col("status").cast("string"), F.lit("error")), 5, " ")
+    title = F.substring(F.coalesce("title", F.lit("[no title]")), 1, 60)
+    return records.select("site", "url", F.concat(status, F.lit(" | "), F.rpad(F.substring("url", 1, 70), 70, " "), F.lit(" | "), title).alias("line"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html
 from ..functions.exact import exact_text, ratio_from
+from ..functions.text import percent
 from ..sources.shared import keep
 
 THRESHOLD = 0.8
@@ -46,25 +47,34 @@ def candidates(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def similar_pairs(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """site, i, j, sim for all pairs i < j with ratio >= threshold."""
-    chars = pages.select("site", "seq", "text", _counts(F.col("text")).alias("chars"))
-    a = chars.select("site", F.col("seq").alias("i"), F.col("text").alias("ti"), F.col("chars").alias("ci"))
-    b = chars.select("site", F.col("seq").alias("j"), F.col("text").alias("tj"), F.col("chars").alias("cj"))
-    pairs = candidates(pages, threshold).join(a, ["site", "i"]).join(b, ["site", "j"])
-    common = F.aggregate(F.zip_with("ci", "cj", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return pairs.where(2 * common / (F.col("ni") + F.col("nj")) >= threshold).select("site", "i", "j", ratio_from(threshold)("ti", "tj").alias("sim")).where("sim is not null")
+    """site, i, j, sim for all pairs i < j with ratio >= threshold.
+
+    Pairs are formed of counts alone. Texts go only to those that the bound on common characters lets through.
+    """
+    factor = (2 - threshold) / threshold
+    band = F.floor(F.log("n") / math.log(factor) + 1e-9)
+    names = [f"c{k}" for k in range(len(_CHARS) + 1)]
+    own = pages.select("site", "seq", "n", band.alias("band"), _counts(F.col("text")).alias("c")).select("site", "seq", "n", "band", *[F.col("c")[k].alias(x) for k, x in enumerate(names)])
+    left = own.select("site", F.col("seq").alias("i"), F.col("n").alias("ni"), F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), *[F.col(x).alias(f"l{x}") for x in names])
+    right = own.select("site", F.col("seq").alias("j"), F.col("n").alias("nj"), "band", *[F.col(x).alias(f"r{x}") for x in names])
+    common = sum((F.least(f"l{x}", f"r{x}") for x in names), F.lit(0))
+    size = F.col("ni") + F.col("nj")
+    fit = (F.col("i") < F.col("j")) & (2 * F.least("ni", "nj") / size >= threshold) & (2 * common / size >= threshold)
+    pairs = left.join(right, ["site", "band"]).where(fit).select("site", "i", "j")
+    a, b = (pages.select("site", F.col("seq").alias(k), F.col("text").alias(f"t{k}")) for k in "ij")
+    both = pairs.join(a, ["site", "i"]).join(b, ["site", "j"])
+    return both.select("site", "i", "j", ratio_from(threshold)("ti", "tj").alias("sim")).where("sim is not null")
 
 
 #: Characters that are counted one by one; all others together.
-_COUNTED = "abcdefghijklmnopqrstuvwxyz .,0123456789\n"
+_CHARS = list(dict.fromkeys("abcdefghijklmnopqrstuvwxyz .,0123456789\n"))
 
 
 def _counts(text: Column) -> Column:
     """Occurrences of some characters and of the rest. Merging characters can only raise the bound."""
     low = F.lower(text)
-    chars = list(dict.fromkeys(_COUNTED))
-    each = [F.length(low) - F.length(F.replace(low, F.lit(c), F.lit(""))) for c in chars]
-    rest = F.length(F.translate(low, "".join(chars), ""))
+    each = [F.length(low) - F.length(F.replace(low, F.lit(c), F.lit(""))) for c in _CHARS]
+    rest = F.length(F.translate(low, "".join(_CHARS), ""))
     return F.array(*each, rest)
 
 
@@ -108,6 +118,37 @@ def risk(pages: DataFrame, found: DataFrame) -> DataFrame:
     return out.withColumns({"affected_share": F.round(F.col("affected") / F.col("pages"), 4), "duplication": F.when(F.col("groups") > F.col("pages") * HIGH, "high").otherwise("acceptable")})
 
 
+def lines(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """Console lines a site, in order: each group's source and its similar pages, then the risk. URLs are cut at 70 and 60."""
+    total = pages.groupBy("site").agg(F.count("*").alias("pages"))
+    similar = F.transform("similar_pages", lambda r: F.concat(F.lit("  ↔ "), percent(r["sim"]), F.lit(" | "), F.substring(r["url"], 1, 60)))
+    block = F.concat(F.lit("source "), F.substring("source", 1, 70), F.lit("\n"), F.array_join(similar, "\n"))
+    by = found.groupBy("site").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("leader", block.alias("x")))), lambda r: r["x"]), "\n").alias("blocks"), F.count("*").alias("groups"))
+    own = total.join(by, "site", "left").na.fill(0, ["groups"])
+    high = F.col("groups") > F.col("pages") * HIGH
+    last = F.when(high, F.format_string("⚠️  duplication is high: %d groups on %d pages", "groups", "pages")).otherwise(F.format_string("✓ duplication is acceptable: %d groups on %d pages", "groups", "pages"))
+    return own.select("site", F.concat(F.coalesce(F.concat("blocks", F.lit("\n")), F.lit("✓ no similar pages\n")), last).alias("lines"))
+
+
+def report(pages: DataFrame, found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """A text report a site with full URLs."""
+    total = pages.groupBy("site").agg(F.count("*").alias("pages"))
+    similar = F.transform("similar_pages", lambda r: F.concat(F.lit("  "), percent(r["sim"]), F.lit(" | "), r["url"]))
+    block = F.concat(F.lit("Source: "), "source", F.lit("\nMean: "), percent(F.col("avg_similarity")), F.lit("\n"), F.array_join(similar, "\n"), F.lit("\n"))
+    by = found.groupBy("site").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("leader", block.alias("x")))), lambda r: r["x"]), "\n").alias("blocks"), F.count("*").alias("groups"))
+    head = F.format_string(f"Similar pages\nThreshold: {threshold}\nPages: %d\nGroups: %d\n\n", "pages", "groups")
+    return total.join(by, "site", "left").na.fill(0, ["groups"]).select("site", F.concat(head, F.coalesce("blocks", F.lit(""))).alias("report"))
+
+
+def repeated_share(pages: DataFrame) -> DataFrame:
+    """site, pages, and the mean share of a page's text in chunks (its lines) that other pages of the site have too."""
+    own = pages.select("site", "seq", F.explode(F.split("text", "\n")).alias("chunk"))
+    each = own.groupBy("site", "seq", "chunk").agg((F.length("chunk") * F.count("*")).alias("chars"))
+    on = own.groupBy("site", "chunk").agg(F.min("seq").alias("a"), F.max("seq").alias("b")).select("site", "chunk", (F.col("a") != F.col("b")).alias("shared"))
+    page = each.join(on, ["site", "chunk"]).groupBy("site", "seq").agg((F.sum(F.when(F.col("shared"), F.col("chars")).otherwise(0)) / F.sum("chars")).alias("share"))
+    return page.groupBy("site").agg(F.count("*").alias("pages"), F.round(F.avg("share"), 4).alias("shared_text"))
+
+
 def shingle_overlap(docs: DataFrame, doc_key: str, others: DataFrame, other_key: str, words: int = 5) -> DataFrame:
     """For each text that shares any run of ``words`` words with one of ``others``: the largest share of its distinct
     runs that one other text holds, that text (the least key at ties), and the overlap band."""

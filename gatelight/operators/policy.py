@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import percent
 from ..plans.registry import SEVERITY_RANK
 
 #: Sections whose failures make the policy requirement itself fail.
@@ -53,32 +54,84 @@ def decision(report: DataFrame) -> DataFrame:
     return out.withColumn("decision", ready)
 
 
-def computed_findings(depth: DataFrame | None = None, technical: DataFrame | None = None, completeness: DataFrame | None = None, duplication: DataFrame | None = None) -> DataFrame:
-    """Findings that the checks' results bear out, in the form that ``checklist`` takes."""
+#: Requirement, check, what its statuses amount to (any other, and a check that wasn't made, is Unknown), what to do.
+_CHECKS = (
+    ("ADS-CRAWL-02", "robots.txt", {"OK": "Pass", "MISSING": "Pass", "FAIL": "Fail"}, "let the crawlers in"),
+    ("ADS-CRAWL-04", "redirects", {"OK": "Pass", "WARNING": "Fail", "FAIL": "Fail"}, "shorten redirects"),
+    ("ADS-CRAWL-06", "dns_and_uptime", {"OK": "Pass", "FAIL": "Fail"}, "mend hosting"),
+    ("ADS-CRAWL-07", "sitemap.xml", {"OK": "Pass", "WARNING": "Fail", "MISSING": "Fail"}, "publish a sitemap"),
+)
+
+
+def computed_findings(
+    depth: DataFrame | None = None, technical: DataFrame | None = None, completeness: DataFrame | None = None, duplication: DataFrame | None = None,
+    sellers: DataFrame | None = None, trust_pages: DataFrame | None = None, trust: DataFrame | None = None, sessions: DataFrame | None = None, overlap: DataFrame | None = None,
+) -> DataFrame:
+    """Findings that the checks' results bear out, in the form that ``checklist`` takes.
+
+    What wasn't fetched is Unknown, and so is what a check can't settle: a Pass or a Fail is only said of what was seen.
+    """
     parts: list[DataFrame] = []
 
     def add(rows: DataFrame, id_: str, verdict: Column, evidence: Column, action: str) -> None:
         parts.append(rows.select("site", F.lit(id_).alias("id"), verdict.alias("verdict"), F.lit(None).cast("string").alias("severity"), evidence.alias("evidence"), F.when(verdict == "Fail", action).otherwise("").alias("next_action")))
 
-    def passed(good: Column) -> Column:
-        return F.when(good, "Pass").otherwise("Fail")
+    def judged(good: Column, known: Column | None = None) -> Column:
+        """Pass or Fail; Unknown where good is null or known is false."""
+        out = F.when(good, "Pass").when(~good, "Fail").otherwise("Unknown")
+        return out if known is None else F.when(known, out).otherwise("Unknown")
 
     if depth is not None:
-        by = depth.groupBy("site").agg(F.count_if(F.col("risk") == "THIN").alias("thin"), F.count("*").alias("n"), F.count_if(F.col("risk") == "ERROR").alias("errors"), F.count_if(F.col("word_count") >= 1200).alias("guides"))
-        add(by, "ADS-CONTENT-03", passed(F.col("thin") == 0), F.format_string("%d of %d pages are thin", "thin", "n"), "extend the thin pages")
-        add(by, "ADS-CRAWL-01", passed(F.col("errors") == 0), F.format_string("%d of %d pages fail", "errors", "n"), "mend the failing pages")
-        add(by, "ADS-COMPLETE-02", passed(F.col("guides") >= 3), F.format_string("%d substantial guides", "guides"), "publish three guides")
+        by = depth.groupBy("site").agg(F.count_if(F.col("risk") == "THIN").alias("thin"), F.count("*").alias("n"), F.count_if(F.col("risk") == "ERROR").alias("errors"), F.count_if(F.col("word_count") == 0).alias("empty"), F.count_if(F.col("word_count") >= 1200).alias("guides"))
+        by = by.withColumn("read", F.col("n") - F.col("errors"))
+        seen = F.col("read") > 0
+        add(by, "ADS-CONTENT-01", F.when(seen & (F.col("thin") == F.col("read")), "Fail").otherwise("Unknown"), F.format_string("%d of %d pages read are thin", "thin", "read"), "write useful pages")
+        add(by, "ADS-CONTENT-03", judged(F.col("thin") == 0, seen), F.format_string("%d of %d pages read are thin", "thin", "read"), "extend the thin pages")
+        add(by, "ADS-CONTENT-04", judged(F.col("empty") == 0, seen), F.format_string("%d of %d pages read are empty", "empty", "read"), "fill the empty pages")
+        add(by, "ADS-CRAWL-01", judged(F.col("errors") == 0), F.format_string("%d of %d pages fail", "errors", "n"), "mend the failing pages")
+        add(by, "ADS-COMPLETE-02", judged(F.col("guides") >= 3, seen), F.format_string("%d substantial guides", "guides"), "publish three guides")
     if technical is not None:
-        for check, id_, action in (("robots.txt", "ADS-CRAWL-02", "let the crawlers in"), ("redirects", "ADS-CRAWL-04", "shorten redirects"), ("dns_and_uptime", "ADS-CRAWL-06", "mend hosting"), ("sitemap.xml", "ADS-CRAWL-07", "publish a sitemap")):
+        for id_, check, means, action in _CHECKS:
             rows = technical.where(F.col("check") == check)
-            add(rows, id_, passed(F.col("status") == "OK"), F.concat(F.lit(f"{check}: "), F.col("status")), action)
+            verdict = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in means.items() for x in kv]), F.col("status")), F.lit("Unknown"))
+            add(rows, id_, verdict, F.concat(F.lit(f"{check}: "), F.col("status")), action)
     if completeness is not None:
-        for check, id_, action in (("site_completeness", "ADS-COMPLETE-01", "finish the pages"), ("publisher_identity", "ADS-AUTHOR-01", "say who publishes")):
-            rows = completeness.where(F.col("check") == check)
-            verdict = F.when(F.col("status") == "OK", "Pass").when(F.col("status").isin("FAIL", "HIGH_RISK"), "Fail").otherwise("Unknown")
-            add(rows, id_, verdict, F.concat(F.lit(f"{check}: "), F.col("status"), F.lit("; "), F.array_join("issues", "; ")), action)
+        named = F.concat("check", F.lit(": "), F.col("status"), F.when(F.size("issues") > 0, F.concat(F.lit("; "), F.array_join("issues", "; "))).otherwise(""))
+        whole, who = (completeness.where(F.col("check") == c) for c in ("site_completeness", "publisher_identity"))
+        # a homepage that doesn't answer says nothing of the pages behind it
+        dead = F.exists("issues", lambda x: F.startswith(x, F.lit("homepage gives")))
+        unread = F.exists(F.map_values("details"), lambda v: F.startswith(v, F.lit("ERROR")))
+        state = F.when(dead | (unread & (F.col("status") == "OK")), "Unknown").when(F.col("status") == "OK", "Pass").when(F.col("status").isin("FAIL", "HIGH_RISK"), "Fail").otherwise("Unknown")
+        add(whole, "ADS-COMPLETE-01", state, named, "finish the pages")
+        add(whole, "ADS-CONTENT-04", state, named, "finish the pages")
+        add(who, "ADS-AUTHOR-01", F.when(F.col("status") == "OK", "Pass").when(F.col("status").isin("FAIL", "HIGH_RISK"), "Fail").otherwise("Unknown"), named, "say who publishes")
     if duplication is not None:
-        add(duplication, "ADS-CONTENT-08", passed(F.col("duplication") == "acceptable"), F.format_string("%d of %d pages in groups", "affected", "pages"), "merge alike pages")
+        high = F.col("duplication") == "high"
+        shown = F.format_string("%d of %d pages in groups", "affected", "pages")
+        # own pages that differ don't show that nothing is copied from elsewhere
+        add(duplication, "ADS-CONTENT-02", F.when(high, "Fail").otherwise("Unknown"), shown, "write own text")
+        add(duplication, "ADS-CONTENT-08", judged(~high), shown, "merge alike pages")
+    if sellers is not None:
+        rows = sellers.where("published is not null")
+        listed = F.format_string("ads.txt has %d lines of the ad network", "network_lines")
+        add(rows, "ADS-TXT-01", F.when(~F.col("published"), "N/A").otherwise(judged(F.col("network_lines") > 0)), F.when(F.col("published"), listed).otherwise("no ads.txt"), "list the ad network")
+        add(rows, "ADS-TXT-02", judged(F.col("published")), F.when(F.col("published"), F.format_string("ads.txt has %d direct sellers", "direct_sellers")).otherwise("no ads.txt"), "publish ads.txt")
+    if trust_pages is not None:
+        codes = [F.col(c) for c in ("about", "contact", "privacy")]
+        gone = F.lit(False)
+        for c in codes:
+            gone = gone | F.coalesce(c.isin(404, 410), F.lit(False))
+        every = (codes[0] == 200) & (codes[1] == 200) & (codes[2] == 200)
+        shown = F.concat_ws(", ", *[F.concat(F.lit(f"/{n} "), F.coalesce(c.cast("string"), F.lit("not fetched"))) for n, c in zip(("about", "contact", "privacy"), codes)])
+        add(trust_pages, "ADS-UX-05", F.when(gone, "Fail").when(every, "Pass").otherwise("Unknown"), shown, "publish the trust pages")
+        add(trust_pages.where("privacy is not null"), "ADS-PRIV-01", F.when(codes[2].isin(404, 410), "Fail").otherwise("Unknown"), F.concat(F.lit("/privacy gives "), codes[2].cast("string")), "publish a privacy policy")
+    if trust is not None:
+        add(trust, "ADS-AUTHOR-02", judged(F.col("contact")), F.when(F.col("contact"), "a way of contact is named").when(~F.col("contact"), "no way of contact is named").otherwise("about or contact page not fetched"), "name a way of contact")
+        add(trust, "ADS-AUTHOR-03", judged(F.col("profile")), F.when(F.col("profile"), "the about page links to a profile").when(~F.col("profile"), "the about page links to no profile").otherwise("about page not fetched"), "link to a profile")
+    if sessions is not None:
+        add(sessions, "ADS-CRAWL-05", judged(F.col("keyed") == 0), F.format_string("%d of %d URLs name a session or a person", "keyed", "urls"), "keep sessions out of URLs")
+    if overlap is not None:
+        add(overlap, "ADS-CONTENT-OVERLAP", F.when(F.col("overlap") > 0.6, "Fail").when(F.col("overlap") < 0.4, "Pass").otherwise("Unknown"), F.concat(F.lit("shares "), percent(F.col("overlap")), F.lit(" of a page with another text")), "write own text")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -34,3 +34,25 @@ def rated(results: DataFrame, key: str = "site") -> DataFrame:
 
 def boilerplate(share: Column) -> Column:
     return F.when(share <= 0.3, "Pass").when(share >= 0.5, "Fail").otherwise("Unknown")
+
+
+def site_checks(shared_text: DataFrame, overlap: DataFrame) -> DataFrame:
+    """site, check_id, share, verdict: a quiz site's shared boilerplate and the overlap of its pages.
+
+    From (site, shared_text), the share of text that pages have in common, and (site, overlap), the largest share that two have.
+    """
+    a = shared_text.select("site", F.lit("QUIZ-18").alias("check_id"), F.col("shared_text").alias("share"), boilerplate(F.col("shared_text")).alias("verdict"))
+    b = overlap.select("site", F.lit("QUIZ-19").alias("check_id"), F.col("overlap").alias("share"), F.when(F.col("overlap") < 0.4, "Pass").otherwise("Fail").alias("verdict"))
+    return a.unionByName(b)
+
+
+def requirement_findings(results: DataFrame, bears: DataFrame) -> DataFrame:
+    """site, id, verdict, evidence from (site, rubric, check_id, passed): each requirement by the checks that bear on it.
+
+    One that failed fails it; all that were made and passed leave it Unknown until the manual ones are made too.
+    """
+    own = results.join(F.broadcast(bears.where("check_id is not null")), ["rubric", "check_id"])
+    all_ = F.broadcast(bears.where("check_id is not null").groupBy("rubric", "id").agg(F.count("*").alias("checks")))
+    by = own.groupBy("site", "rubric", "id").agg(F.count_if(~F.col("passed")).alias("failed"), F.count("*").alias("made")).join(all_, ["rubric", "id"])
+    verdict = F.when(F.col("failed") > 0, "Fail").when(F.col("made") == F.col("checks"), "Pass").otherwise("Unknown")
+    return by.select("site", "id", verdict.alias("verdict"), F.format_string("%d of %d checks made, %d failed", "made", "checks", "failed").alias("evidence"))

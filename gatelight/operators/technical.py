@@ -8,12 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..functions.exact import sitemap
 from ..functions.urls import is_https, path
 
 HEADERS = {"content-security-policy": "CSP", "x-frame-options": "Clickjacking protection", "x-content-type-options": "MIME-sniffing protection", "strict-transport-security": "HTTPS enforcement"}
 ROBOT = "mediapartners-google"
 SLOW_MS, MOST_HOPS = 5000, 2
+#: The method of a HEAD request whose redirects aren't followed: the site's own headers are looked at, not a target's.
+DIRECT = "HEAD-DIRECT"
 ORDER = ("dns_and_uptime", "https", "robots.txt", "sitemap.xml", "redirects", "security_headers")
 
 
@@ -39,11 +42,12 @@ def site_fetches(fetches: DataFrame) -> DataFrame:
     def first(condition: Column, name: str) -> Column:
         return F.min_by(F.when(condition, row), F.when(condition, F.col("seq"))).alias(name)
 
-    get, head = F.col("method") == "GET", F.col("method") == "HEAD"
+    # a HEAD that follows redirects, and one that doesn't
+    get, head, direct = (F.col("method") == m for m in ("GET", "HEAD", DIRECT))
     root = at.isin("", "/")
     found = looked_at.groupBy("site").agg(
         first(get & root, "home"), first(get & (at == "/about"), "about"), first(get & (at == "/contact"), "contact"), first(get & (at == "/robots.txt"), "robots"),
-        first(get & (at == "/sitemap.xml"), "map"), first(get & (at == "/ads.txt"), "sellers"), first(head & root, "head"), first(get & (at == "/privacy"), "privacy"))
+        first(get & (at == "/sitemap.xml"), "map"), first(get & (at == "/ads.txt"), "sellers"), first(head & root, "head"), first(direct & root, "direct"), first(get & (at == "/privacy"), "privacy"))
     return fetches.select("site").distinct().join(found, "site", "left")
 
 
@@ -81,27 +85,28 @@ def site_map(r: Column, parsed: Column) -> Column:
 
 def redirects(r: Column) -> Column:
     hops, bad = r["redirect_count"] > MOST_HOPS, r["status"] >= 400
-    failed = r["error"].isNotNull() | r["status"].isNull()
-    status = F.when(failed, "ERROR").when(bad, "FAIL").when(hops, "WARNING").otherwise("OK")
-    issues = F.when(failed, _issues(F.coalesce(r["error"], F.lit("not fetched")))).otherwise(_issues(F.when(hops, F.concat(r["redirect_count"].cast("string"), F.lit(" redirects"))), F.when(bad, F.concat(F.lit("ends with "), r["status"].cast("string")))))
+    failed, unseen = r["error"].isNotNull() | r["status"].isNull(), r["redirect_count"].isNull()
+    status = F.when(failed, "ERROR").when(bad, "FAIL").when(unseen, "ERROR").when(hops, "WARNING").otherwise("OK")
+    issues = F.when(failed, _issues(F.coalesce(r["error"], F.lit("not fetched")))).otherwise(_issues(F.when(hops, F.concat(r["redirect_count"].cast("string"), F.lit(" redirects"))), F.when(bad, F.concat(F.lit("ends with "), r["status"].cast("string"))), F.when(~bad & unseen, "redirects weren't recorded")))
     return _result("redirects", status, issues, _details(redirect_count=r["redirect_count"], final_url=r["final_url"]))
 
 
 def headers(r: Column) -> Column:
     failed = r["error"].isNotNull() | r["status"].isNull()
+    unseen = r["headers"].isNull()
     low = F.transform_keys(r["headers"], lambda k, _: F.lower(k))
     value = {h: F.element_at(low, F.lit(h)) for h in HEADERS}
     missing = _issues(*[F.when(value[h].isNull(), F.lit(f"{name} header is missing ({h})")) for h, name in HEADERS.items()])
-    issues = F.when(failed, _issues(F.coalesce(r["error"], F.lit("not fetched")))).otherwise(missing)
-    status = F.when(failed, "ERROR").when(F.size(missing) > 0, "WARNING").otherwise("OK")
+    issues = F.when(failed, _issues(F.coalesce(r["error"], F.lit("not fetched")))).when(unseen, F.array(F.lit("headers weren't recorded"))).otherwise(missing)
+    status = F.when(failed | unseen, "ERROR").when(F.size(missing) > 0, "WARNING").otherwise("OK")
     return _result("security_headers", status, issues, F.create_map(*[x for h, name in HEADERS.items() for x in (F.lit(name), F.concat(F.substring(value[h], 1, 50), F.lit("...")))]))
 
 
 def https(r: Column) -> Column:
     secure = is_https(r["requested_url"])
-    broken = F.coalesce(r["ssl_error"], F.lit(False))
-    status = F.when(~secure, "WARNING").when(broken, "FAIL").when(r["error"].isNotNull(), "ERROR").otherwise("OK")
-    issue = F.when(~secure, "the site does without HTTPS").when(broken, "the certificate can't be verified").when(r["error"].isNotNull(), r["error"])
+    broken, unseen = F.coalesce(r["ssl_error"], F.lit(False)), r["requested_url"].isNull()
+    status = F.when(unseen, "ERROR").when(~secure, "WARNING").when(broken, "FAIL").when(r["error"].isNotNull(), "ERROR").otherwise("OK")
+    issue = F.when(unseen, "not fetched").when(~secure, "the site does without HTTPS").when(broken, "the certificate can't be verified").when(r["error"].isNotNull(), r["error"])
     return _result("https", status, _issues(issue), _details(ssl_verified=F.when(secure & ~broken & r["error"].isNull(), "true")))
 
 
@@ -121,8 +126,8 @@ def checks(fetches: DataFrame, rfc: bool = False) -> DataFrame:
     """site, pos, check, status, issues, details: the six checks of every site in their order."""
     own = site_fetches(fetches)
     own = own.withColumn("sound", sitemap(F.col("map.body")))
-    home, head = F.col("home"), F.coalesce("head", "home")
-    each = [uptime(home), https(home), robots(F.col("robots"), rfc), site_map(F.col("map"), F.col("sound")), redirects(head), headers(head)]
+    home, head, direct = F.col("home"), F.coalesce("head", "home"), F.coalesce("direct", "head", "home")
+    each = [uptime(home), https(home), robots(F.col("robots"), rfc), site_map(F.col("map"), F.col("sound")), redirects(head), headers(direct)]
     return own.select("site", F.posexplode(F.array(*each)).alias("pos", "c")).select("site", "pos", "c.*")
 
 
@@ -133,9 +138,35 @@ def summary(found: DataFrame) -> DataFrame:
     return found.groupBy("site").agg(fails.alias("failures"), warns.alias("warnings"), message.alias("message"))
 
 
+def lines(found: DataFrame, width: int = 20) -> DataFrame:
+    """Console lines a check: mark, name and status, then issues and details; details longer than 60 are cut."""
+    head = F.concat(text.symbol(F.col("status")), F.lit(" "), text.padded(F.col("check"), width), F.lit(" | "), text.padded(F.col("status"), 10))
+    issues = F.transform("issues", lambda x: F.concat(F.lit("   → "), x))
+    details = F.transform(F.array_sort(F.map_entries("details")), lambda e: F.concat(F.lit("   • "), e["key"], F.lit(": "), text.clipped(e["value"], 60)))
+    return found.select("site", "pos", F.array_join(F.concat(F.array(head), issues, details), "\n").alias("lines"))
+
+
+def report(found: DataFrame, title: str) -> DataFrame:
+    """A text report a site: its checks in order with all issues and details."""
+    issues = F.transform("issues", lambda x: F.concat(F.lit("  - "), x, F.lit("\n")))
+    details = F.transform(F.array_sort(F.map_entries("details")), lambda e: F.concat(F.lit("  "), e["key"], F.lit(" = "), e["value"], F.lit("\n")))
+    one = F.concat(F.col("check"), F.lit(": "), F.col("status"), F.lit("\n"), F.array_join(issues, ""), F.array_join(details, ""))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", one.alias("x")))), lambda r: r["x"]), "\n")
+    return found.groupBy("site").agg(F.concat(F.lit(f"{title}\nSite: "), F.col("site"), F.lit("\n\n"), body).alias("report"))
+
+
 def seller_file(fetches: DataFrame) -> DataFrame:
-    """site, published, lines of ads.txt that name a seller directly."""
+    """site, published (null if /ads.txt wasn't fetched), and how many of its lines name a seller directly, and the ad network so."""
+    own = site_fetches(fetches)
+    code = F.when(F.col("sellers.error").isNull(), F.col("sellers.status"))
+    listed = F.split(F.lower(F.coalesce("sellers.body", F.lit(""))), "\n")
+    direct = F.filter(listed, lambda x: F.rlike(x, F.lit(r"^\s*[^#,\s]+\s*,\s*[^,\s]+\s*,\s*direct\b")))
+    network = F.filter(direct, lambda x: F.rlike(x, F.lit(r"^\s*google\.com\s*,")))
+    good = code == 200
+    return own.select("site", good.alias("published"), F.when(good, F.size(direct)).otherwise(0).alias("direct_sellers"), F.when(good, F.size(network)).otherwise(0).alias("network_lines"))
+
+
+def trust_pages(fetches: DataFrame) -> DataFrame:
+    """site and the statuses of /about, /contact and /privacy; null where they weren't fetched or failed."""
     own = site_fetches(fetches)
-    good = F.coalesce(F.col("sellers.status") == 200, F.lit(False))
-    direct = F.size(F.filter(F.split(F.lower(F.col("sellers.body")), "\n"), lambda x: F.rlike(x, F.lit(r"^\s*[^#,\s]+\s*,\s*[^,\s]+\s*,\s*direct\b"))))
-    return own.select("site", good.alias("published"), F.when(good, direct).otherwise(0).alias("direct_sellers"))
+    return own.select("site", *[F.when(F.col(f"{p}.error").isNull(), F.col(f"{p}.status")).alias(p) for p in ("about", "contact", "privacy")])

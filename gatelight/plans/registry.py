@@ -159,6 +159,24 @@ hybrid tool
 hybrid quiz
 """
 
+#: requirement, then the rubric checks that bear on it; none where only the page itself shows it
+_BEARS = """
+tool CONTENT-01 TOOL-01 TOOL-02 TOOL-03
+tool CONTENT-02 TOOL-01
+tool CONTENT-03 TOOL-02 TOOL-04
+tool CONTENT-04
+tool UX-01 TOOL-06
+tool UX-02 TOOL-06
+tool CRAWL-05 TOOL-11
+quiz CONTENT-01 QUIZ-01 QUIZ-05 QUIZ-07
+quiz CONTENT-02 QUIZ-02 QUIZ-04 QUIZ-19
+quiz CONTENT-03 QUIZ-11
+quiz CONTENT-04
+quiz CONTENT-08 QUIZ-18 QUIZ-20
+quiz UX-02 QUIZ-08
+quiz CRAWL-05 QUIZ-15
+"""
+
 SEVERITY_RANK = {"Blocker": 1, "High": 2, "Medium": 3}
 
 
@@ -173,6 +191,14 @@ PRIORS = [(int(a), b) for a, b in _lines(_PRIORS, 1)]
 SITE_TYPES = [(a, b) for a, b in _lines(_SITE_TYPES, 1)]
 
 
+#: rubric, requirement id, check id (null where no check bears on it)
+BEARS = [(r, f"ADS-{i}", c) for r, i, *checks in map(str.split, _BEARS.strip().split("\n")) for c in checks or [None]]
+
+
+def bears(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(BEARS, "rubric string, id string, check_id string")
+
+
 def requirements(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(REQUIREMENTS, "section string, id string, severity string, evidence_source string, topic string")
 

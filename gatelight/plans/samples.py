@@ -68,7 +68,16 @@ WORK = [
 #: site, rubric, check_id, passed, overlap
 RATINGS = [(f"{r}{k}.example", r, f"{r.upper()}-{n:02d}", n <= good, over) for k, (r, good, over) in enumerate([("tool", 9, None), ("tool", 6, None), ("tool", 3, None), ("quiz", 8, 0.2), ("quiz", 8, 0.5), ("quiz", 4, 0.1)]) for n in range(1, 11)]
 
+#: site, leader, source, member, url, sim: groups of similar pages, flat
+SIMILAR = [
+    ("a.example", 1, "https://a.example/" + "long-path/" * 8, 2, "https://a.example/two", 0.925), ("a.example", 1, "https://a.example/" + "long-path/" * 8, 5, "https://a.example/" + "another-path/" * 6, 0.875),
+    ("a.example", 3, "https://a.example/three", 4, "https://a.example/four", 1.0), ("b.example", 1, "https://b.example/one", 9, "https://b.example/nine", 0.8),
+]
+CORPUS = [*[("a.example", k) for k in range(1, 6)], *[("b.example", k) for k in range(1, 10)], ("c.example", 1)]
+
 SHAPES = {
+    "alike": (SIMILAR, "site string, leader long, source string, member long, url string, sim double"),
+    "corpus": (CORPUS, "site string, seq long"),
     "findings": (FINDINGS, "site string, id string, verdict string, severity string, evidence string, next_action string"),
     "before": (BEFORE, "site string, id string, verdict string"),
     "after": (AFTER, "site string, id string, verdict string"),

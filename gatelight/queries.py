@@ -114,10 +114,13 @@ def repeated_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def placeholder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many texts hold each phrase, those that none holds included."""
     docs = read_table(spark, sf_dir, "documents").select(F.lit("documents").alias("source"), "text")
     pages = read_table(spark, sf_dir, "pages").select(F.lit("pages").alias("source"), html.body_text(F.col("html")).alias("text"))
-    found = docs.unionByName(pages).select("source", F.explode(text.found_phrases(F.col("text"), text.PLACEHOLDERS)).alias("phrase"))
-    return found.groupBy("source", "phrase").agg(F.count("*").alias("n"))
+    found = text.found_phrases(F.col("text"), text.PLACEHOLDERS)
+    by = docs.unionByName(pages).select("source", found.alias("found")).groupBy("source").agg(*[F.count_if(F.array_contains("found", p)).alias(f"n{k}") for k, p in enumerate(text.PLACEHOLDERS)])
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("phrase"), F.col(f"n{k}").alias("n")) for k, p in enumerate(text.PLACEHOLDERS)]))
+    return by.select("source", each.alias("r")).select("source", "r.*")
 
 
 @query
@@ -130,8 +133,8 @@ def identity_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 # duplicates
 
 
-def _pages_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keep(duplicates.corpus(from_pages(read_table(spark, sf_dir, "pages"))))
+def _pages_corpus(spark: SparkSession, sf_dir: str, scope: str = "site") -> DataFrame:
+    return keep(duplicates.corpus(from_pages(read_table(spark, sf_dir, "pages")), scope=scope))
 
 
 @query
@@ -148,12 +151,13 @@ def dup_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.similar_pairs(_pages_corpus(spark, sf_dir))
+    """All stored pages against one another, whatever their sites."""
+    return duplicates.similar_pairs(_pages_corpus(spark, sf_dir, scope=""))
 
 
 @query
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _pages_corpus(spark, sf_dir)
+    own = _pages_corpus(spark, sf_dir, scope="")
     return duplicates.groups(own, duplicates.similar_pairs(own))
 
 
@@ -163,6 +167,28 @@ def duplicate_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.risk(own, duplicates.groups(own, duplicates.similar_pairs(own)))
 
 
+def _sample_groups(spark: SparkSession) -> DataFrame:
+    own = F.transform(F.array_sort(F.collect_list(F.struct("member", "url", "sim"))), lambda r: F.struct(r["url"].alias("url"), r["sim"].alias("sim")))
+    return samples.sample(spark, "alike").groupBy("site", "leader", "source").agg(own.alias("similar_pages"), F.avg("sim").alias("avg_similarity"))
+
+
+@query
+def duplicate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.lines(samples.sample(spark, "corpus"), _sample_groups(spark))
+
+
+@query
+def duplicate_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.report(samples.sample(spark, "corpus"), _sample_groups(spark))
+
+
+@query
+def repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text that a site's stored pages share, and what a rubric makes of it."""
+    shared = duplicates.repeated_share(duplicates.corpus(from_pages(read_table(spark, sf_dir, "pages")), exact=False))
+    return shared.withColumn("verdict", rubric.boilerplate(F.col("shared_text")))
+
+
 @query
 def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.shingle_overlap(read_table(spark, sf_dir, "documents"), "doc_id", read_table(spark, sf_dir, "benchmark"), "item_id")
@@ -199,6 +225,26 @@ def technical_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return technical.summary(technical.checks(samples.fetches(spark)))
 
 
+@query
+def technical_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return technical.lines(technical.checks(samples.fetches(spark)))
+
+
+@query
+def technical_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return technical.report(technical.checks(samples.fetches(spark)), "Technical checks")
+
+
+@query
+def completeness_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return technical.lines(completeness.checks(samples.fetches(spark)), 25)
+
+
+@query
+def completeness_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return technical.report(completeness.checks(samples.fetches(spark)), "Completeness checks")
+
+
 @query
 def completeness_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(completeness.checks(samples.fetches(spark)).where("check = 'site_completeness'"))
@@ -226,6 +272,22 @@ def site_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modes.audit(spark, from_pages(read_table(spark, sf_dir, "pages")))["checklist"].select("site", "id", "severity", "verdict", "evidence")
 
 
+def _findings(fetched: DataFrame) -> DataFrame:
+    return policy.computed_findings(**modes.evidence(fetched, duplication=False)).drop("severity")
+
+
+@query
+def site_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the audit of the stored pages goes by, but for duplicates, which ``duplicate_risk`` has."""
+    return _findings(from_pages(read_table(spark, sf_dir, "pages")))
+
+
+@query
+def sample_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of fetches with statuses, headers and the paths that the checks look at."""
+    return _findings(samples.fetches(spark))
+
+
 # registry, checklist, decision
 
 
@@ -245,6 +307,19 @@ def site_type_rubrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return types.join(F.broadcast(checks.groupBy("rubric").agg(F.count("*").alias("checks"))), "rubric", "left").select("site_type", "rubric", F.coalesce("checks", F.lit(0)).alias("checks"))
 
 
+@query
+def rubric_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requirements that each rubric check bears on."""
+    checks = registry.rubrics(spark).select("check_id", "asks")
+    own = registry.bears(spark).join(F.broadcast(checks), "check_id", "left")
+    return own.join(F.broadcast(registry.requirements(spark).select("id", "severity")), "id").select("rubric", "id", "severity", "check_id", "asks")
+
+
+@query
+def rubric_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rubric.requirement_findings(samples.sample(spark, "ratings"), registry.bears(spark))
+
+
 @query
 def rejection_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.priors(spark)
@@ -339,14 +414,23 @@ def accuracy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.accuracy(thin.join(labels, "doc_id"))
 
 
-@query
-def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nations as a site each, linked in a ring with shortcuts, crawled from the first two levels deep."""
+def _crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations as a page each, linked in a ring with shortcuts, crawled from two of them two levels deep."""
     nation = read_table(spark, sf_dir, "nation")
     size = nation.count()
     url = lambda k: F.concat(F.lit("https://n.example/"), k.cast("string"))
     k = F.col("n_nationkey")
-    body = F.concat(F.lit('<a href="'), url((k + 1) % size), F.lit('"></a><a href="'), url((k * 3) % size), F.lit('"></a><a href="#x"></a><a href="https://off.example/"></a>'))
+    body = F.concat(F.lit('<title>Page '), k.cast("string"), F.lit('</title><a href="'), url((k + 1) % size), F.lit('"></a><a href="'), url((k * 3) % size), F.lit('"></a><a href="#x"></a><a href="https://off.example/"></a>'))
     pages = nation.select(k.cast("long").alias("page_id"), url(k).alias("url"), body.alias("html"))
     starts = spark.createDataFrame([("n.example", "https://n.example/0"), ("n.example", "https://n.example/2")], "site string, url string")
-    return crawl.crawl(from_pages(pages), starts, 2).groupBy("url").agg(F.min("depth").alias("depth"))
+    return crawl.crawl(from_pages(pages), starts, 2)
+
+
+@query
+def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _crawled(spark, sf_dir).groupBy("url").agg(F.min("depth").alias("depth"))
+
+
+@query
+def crawl_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.lines(_crawled(spark, sf_dir))

@@ -35,9 +35,9 @@ def from_pages(pages: DataFrame) -> DataFrame:
     return own.select("*", *[F.lit(None).cast(t).alias(c) for c, t in rest.items()])
 
 
-def crawl_file(spark: SparkSession, path: str) -> DataFrame:
-    """Crawl documents: one row a record, with start_url. A status that is no number becomes null."""
-    raw = spark.read.schema(CRAWL_FILE).json(path, multiLine=True)
+def crawl_file(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Crawl documents, one a file or one a line: one row a record, with start_url. A status that is no number becomes null."""
+    raw = spark.read.schema(CRAWL_FILE).json(path, multiLine=not lines)
     rows = raw.select("start_url", "crawl_date", F.posexplode("results").alias("seq", "r")).select("start_url", "crawl_date", "seq", "r.*")
     return rows.withColumn("status", F.expr("try_cast(status AS INT)"))
 
@@ -52,10 +52,11 @@ def url_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("url")).where("url != '' and not startswith(url, '#')")
 
 
-def write_crawl(records: DataFrame, start_url: str, crawl_date: str, path: str) -> None:
-    """One JSON document a site, in the form that ``crawl_file`` reads."""
+def write_crawl(records: DataFrame, start_url: str | None, crawl_date: str, path: str) -> None:
+    """One JSON document a site, in the form that ``crawl_file`` reads. Without a start URL, it is the site's homepage."""
     status = F.coalesce(F.col("status").cast("string"), F.lit("error")).alias("status")
     record = F.struct("seq", "url", status, "title", "meta_description", "h1", "content_length", "depth", "error")
     rows = F.transform(F.array_sort(F.collect_list(record)), lambda r: r.dropFields("seq"))
-    whole = records.agg(F.count("*").cast("int").alias("total_urls"), rows.alias("results"))
-    whole.select(F.lit(crawl_date).alias("crawl_date"), F.lit(start_url).alias("start_url"), "total_urls", "results").write.mode("overwrite").json(path)
+    whole = records.groupBy("site").agg(F.count("*").cast("int").alias("total_urls"), rows.alias("results"))
+    start = F.lit(start_url) if start_url else F.concat(F.lit("https://"), "site", F.lit("/"))
+    whole.select(F.lit(crawl_date).alias("crawl_date"), start.alias("start_url"), "total_urls", "results").write.mode("overwrite").json(path)

@@ -1,7 +1,8 @@
 """A live source: ``spark.read.format("gatelight_http").option("urls", path).load()`` fetches a URL list.
 
 Each partition keeps one connection pool's worth of work to itself and waits ``delay`` seconds between
-requests. The result is a fetches table; write it once and check the copy.
+requests. The result is a fetches table; write it once and check the copy. Options: ``method`` (GET, HEAD, or
+HEAD-DIRECT, which doesn't follow redirects), ``agent``, ``timeout``, ``delay``, ``per_partition``.
 """
 
 from __future__ import annotations
@@ -14,29 +15,34 @@ from urllib.parse import urlsplit
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.technical import DIRECT
 from .fetches import FETCHES
 
+#: As a browser, for pages; as a robot that says so, for the technical checks.
 AGENT = "Mozilla/5.0 (compatible; gatelight/1.0)"
+ROBOT = "gatelight-robot/1.0"
 
 
 class _Redirects(urllib.request.HTTPRedirectHandler):
-    def __init__(self) -> None:
-        self.count = 0
+    def __init__(self, follow: bool) -> None:
+        self.count, self.follow = 0, follow
 
     def redirect_request(self, *args):
+        if not self.follow:
+            return None  # the redirect itself is the answer
         self.count += 1
         return super().redirect_request(*args)
 
 
-def fetch(url: str, method: str = "GET", timeout: float = 10.0, seq: int = 0) -> tuple:
-    """One row of fetches. Nothing is raised: a failure is a row with an error."""
-    hops = _Redirects()
+def fetch(url: str, method: str = "GET", timeout: float = 10.0, seq: int = 0, agent: str = AGENT) -> tuple:
+    """One row of fetches. Nothing is raised: a failure is a row with an error. HEAD-DIRECT is a HEAD without redirects."""
+    hops = _Redirects(method != DIRECT)
     opener = urllib.request.build_opener(hops)
     began = time.monotonic()
     site, ssl_error, kind = urlsplit(url).netloc, False, None
     try:
         try:
-            answer = opener.open(urllib.request.Request(url, method=method, headers={"User-Agent": AGENT}), timeout=timeout)
+            answer = opener.open(urllib.request.Request(url, method="HEAD" if method == DIRECT else method, headers={"User-Agent": agent}), timeout=timeout)
         except urllib.error.HTTPError as e:
             answer = e
         took = round((time.monotonic() - began) * 1000, 2)
@@ -65,7 +71,7 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _Urls) -> Iterator[tuple]:
         for seq, url in partition.urls:
-            yield fetch(url, self.options.get("method", "GET"), float(self.options.get("timeout", 10)), seq)
+            yield fetch(url, self.options.get("method", "GET"), float(self.options.get("timeout", 10)), seq, self.options.get("agent", AGENT))
             time.sleep(float(self.options.get("delay", 0)))
 
 

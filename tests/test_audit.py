@@ -261,3 +261,99 @@ def test_texts(spark):
     assert lines["a.example", "BLOCKER-01"] == "[a.example] BLOCKER-01: Name the publisher (p1, 1.5h, @blocker)\n- needs: ADS-AUTHOR-01\n- seen: no name\n- do: do: Name the publisher\n- done when: ADS-AUTHOR-01 passes"
     issues = {(r.site, r.seq): r.issue for r in queries.task_issues(spark, "").collect()}
     assert "- [ ] do: Ask for consent" in issues["b.example", "HIGH-02"] and issues["b.example", "HIGH-02"].endswith("Labels: high, b.example")
+
+
+def test_all_pages_against_the_plain_loop(spark, small):
+    """Near-duplicates and their groups over all stored pages, against a loop over pairs; its bounds are the library's own."""
+    from gatelight import queries
+
+    pages = src.read_table(spark, small, "pages").orderBy("page_id").collect()
+    seen = {}
+    for r in pages:
+        seen.setdefault(r.url, (r.page_id, exact.text_of(r.html, "dup")))
+    texts = sorted(v for v in seen.values() if v[1])
+    want = {}
+    for k, (i, a) in enumerate(texts):
+        for j, b in texts[k + 1 :]:
+            m = SequenceMatcher(None, a, b)
+            if m.real_quick_ratio() >= 0.8 and m.quick_ratio() >= 0.8 and (s := m.ratio()) >= 0.8:
+                want[i, j] = s
+    assert {(r.i, r.j): r.sim for r in queries.near_duplicates(spark, small).collect()} == want and want
+    place = {i: k for k, (i, _) in enumerate(texts)}
+    lead = greedy(len(texts), {(place[i], place[j]) for i, j in want})
+    groups = {}
+    for member, leader in lead.items():
+        groups.setdefault(leader, []).append(member)
+    url = {v[0]: u for u, v in seen.items()}
+    got = {r.source: [p.url for p in r.similar_pages] for r in queries.duplicate_groups(spark, small).collect()}
+    assert got == {url[texts[g][0]]: [url[texts[m][0]] for m in sorted(ms)] for g, ms in groups.items()}
+
+
+def test_lcs_stops_early_only_when_out_of_reach():
+    rng = random.Random(2)
+    for _ in range(60):
+        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randint(1, 300))) for _ in range(2))
+        whole = exact.lcs(a, b)
+        assert exact.lcs(a, b, whole) == whole and exact.lcs(a, b, whole + 1) <= whole
+
+
+def test_what_was_not_fetched_is_unknown(spark):
+    """Stored pages without robots.txt, sitemap, headers and trust pages: nothing is said of those."""
+    rows = src.from_pages(spark.createDataFrame([(1, "https://s/", "<body><p>" + "word " * 400 + "</p></body>"), (2, "https://s/a?sid=1", "<body></body>")], "page_id long, url string, html string"))
+    got = {r.id: r for r in modes.audit(spark, rows)["checklist"].collect()}
+    unknown = ["ADS-CRAWL-02", "ADS-CRAWL-04", "ADS-CRAWL-07", "ADS-TXT-01", "ADS-TXT-02", "ADS-PRIV-01", "ADS-UX-05", "ADS-AUTHOR-01", "ADS-AUTHOR-02", "ADS-AUTHOR-03", "ADS-COMPLETE-01", "ADS-CONTENT-OVERLAP", "ADS-CONTENT-02", "ADS-PUB-01"]
+    assert {i: got[i].verdict for i in unknown} == dict.fromkeys(unknown, "Unknown")
+    assert got["ADS-CRAWL-05"].verdict == "Fail" and got["ADS-CRAWL-05"].evidence == "1 of 2 URLs name a session or a person"
+    assert got["ADS-CONTENT-04"].verdict == "Fail" and got["ADS-CRAWL-01"].verdict == "Pass" and got["ADS-ELIG-03"].verdict == "Fail"
+
+
+def test_findings_of_each_kind(spark):
+    from gatelight.operators.technical import DIRECT
+
+    def rows(site, **bodies):
+        paths = {"home": "/", "about": "/about", "contact": "/contact", "privacy": "/privacy", "ads": "/ads.txt", "robots": "/robots.txt"}
+        return [(site, f"https://{site}{paths[k]}", f"https://{site}{paths[k]}", "GET", code, body, {}, 0, 10.0, False, None, None, i) for i, (k, (code, body)) in enumerate(bodies.items())]
+
+    long = "word " * 400
+    made = rows("a", home=(200, f"<body>{long}</body>"), about=(200, f"<body>Jane Miller, engineer, contact me {long}<a href='https://github.com/jane'></a></body>"), contact=(200, "<body>me@a</body>"), privacy=(200, "<body>all</body>"), ads=(200, "google.com, pub-1, DIRECT, f08\nother.com, 2, RESELLER"), robots=(404, ""))
+    made += rows("b", home=(200, f"<body>{long}</body>"), about=(404, ""), contact=(404, ""), privacy=(404, ""), ads=(200, "other.com, 2, DIRECT"), robots=(200, "User-agent: *\nDisallow: /"))
+    made += rows("c", home=(200, f"<body>{long}</body>"), ads=(404, ""))
+    made += [("a", "https://a/", "https://a/", DIRECT, 301, None, {"X-Frame-Options": "DENY"}, 0, 5.0, False, None, None, 9), ("a", "https://a/", "https://a/x", "HEAD", 200, None, {}, 3, 5.0, False, None, None, 10)]
+    others = spark.createDataFrame([(7, long)], "id long, text string")
+    fetched = spark.createDataFrame(made, src.FETCHES)
+    got = {(r.site, r.id): r.verdict for r in modes.audit(spark, fetched, others=others)["checklist"].collect()}
+    want = {
+        "ADS-TXT-01": ("Pass", "Fail", "N/A"), "ADS-TXT-02": ("Pass", "Pass", "Fail"), "ADS-UX-05": ("Pass", "Fail", "Unknown"), "ADS-PRIV-01": ("Unknown", "Fail", "Unknown"), "ADS-AUTHOR-02": ("Pass", "Fail", "Unknown"),
+        "ADS-AUTHOR-03": ("Pass", "Unknown", "Unknown"), "ADS-CRAWL-02": ("Pass", "Fail", "Unknown"), "ADS-CRAWL-04": ("Fail", "Pass", "Pass"), "ADS-CONTENT-OVERLAP": ("Fail", "Fail", "Fail"),
+    }
+    assert {i: tuple(got[s, i] for s in "abc") for i in want} == want
+    own = {(r.site, r.check): r for r in technical.checks(fetched).collect()}
+    assert "Clickjacking protection" in own["a", "security_headers"].details  # of the answer itself, not of the target
+    assert own["a", "redirects"].details["redirect_count"] == "3"
+
+
+def test_repo_and_live(spark):
+    bad, good = (page(spark, f"<p>{t}</p>") for t in ("", "word " * 400))
+    got = {r.id: r.change for r in modes.repo_and_live(spark, good, bad).collect()}
+    assert got["ADS-CONTENT-03"] == "regression" and "ADS-PUB-01" not in got
+
+
+def test_repeated_share(spark):
+    rows = [("s", 1, "menu of it\nown text"), ("s", 2, "menu of it\nmenu of it\nother"), ("s", 3, "alone here"), ("t", 1, "menu of it")]
+    got = {r.site: (r.pages, r.shared_text) for r in duplicates.repeated_share(spark.createDataFrame(rows, "site string, seq long, text string")).collect()}
+    assert got == {"s": (3, round((10 / 18 + 20 / 25 + 0) / 3, 4)), "t": (1, 0.0)}
+    verdicts = {(r.site, r.check_id): r.verdict for r in rubric.site_checks(spark.createDataFrame([("s", 0.6)], "site string, shared_text double"), spark.createDataFrame([("s", 0.1)], "site string, overlap double")).collect()}
+    assert verdicts == {("s", "QUIZ-18"): "Fail", ("s", "QUIZ-19"): "Pass"}
+
+
+def test_percent_and_padding(spark):
+    got = spark.createDataFrame([(0.125,), (0.135,), (0.995,), (1.0,)], "x double").select(text.percent(F.col("x"))).collect()
+    assert [r[0] for r in got] == [f"{x:.0%}" for x in (0.125, 0.135, 0.995, 1.0)]
+
+
+def test_crawl_of_two_sites(spark, tmp_path):
+    rows = [(s, k, f"https://{s}/{k}", 200, "t", "d", "h", 1, 0, None) for s in ("a", "b") for k in range(2)]
+    records = spark.createDataFrame(rows, "site string, seq long, url string, status int, title string, meta_description string, h1 string, content_length int, depth int, error string")
+    src.write_crawl(records, None, "2026-01-01", str(tmp_path / "two"))
+    back = src.crawl_file(spark, str(tmp_path / "two"), lines=True).collect()
+    assert sorted((r.start_url, r.url) for r in back) == sorted((f"https://{s}/", f"https://{s}/{k}") for s in ("a", "b") for k in range(2))

@@ -37,16 +37,22 @@ def test_query(spark, small, duck, name):
         assert rows(got) == rows(want)
 
 
-def test_without_llm(tmp_path):
-    for name in os.listdir(ROOT):
-        if name in ("gatelight", "__spark_entry__.py"):
-            source = os.path.join(ROOT, name)
-            if os.path.isdir(source):
-                shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
-            else:
-                shutil.copy(source, tmp_path)
-    code = "import __spark_entry__ as e; n = set(e.queries()); assert 'text_depth' in n and 'pipeline' not in n and not any(x.startswith('op1_') for x in n); assert set(e.oracle_sql()) <= n"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_without_llm(tmp_path, pipeline):
+    """With both llm folders deleted, with and without the pipeline's file: the entry works and the other tests run."""
+    skip = shutil.ignore_patterns("llm", "__pycache__", ".git", ".pytest_cache", *([] if pipeline else ["corpus_pipeline.py"]))
+    root = tmp_path / "repo"
+    shutil.copytree(ROOT, root, ignore=skip)
+    env = os.environ | {"PYTHONPATH": str(root)}
+    code = "import __spark_entry__ as e; n = set(e.queries()); assert 'text_depth' in n and 'pipeline' not in n and not any(x.startswith('op1_') for x in n); assert set(e.oracle_sql()) <= n; print(e.__file__)"
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, check=True, env=env, capture_output=True, text=True).stdout
+    assert out.startswith(str(root))
+    run = [sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests"]
+    every = subprocess.run([*run, "--collect-only"], cwd=root, env=env, capture_output=True, text=True)
+    assert every.returncode == 0 and "error" not in every.stdout.lower().split("\n")[-2]
+    if pipeline:
+        some = subprocess.run([*run, "-k", "text_depth or decision or test_phrases or test_registry or test_diff or test_leaders"], cwd=root, env=env, capture_output=True, text=True)
+        assert some.returncode == 0, some.stdout[-2000:]
 
 
 def test_nothing_imports_llm():
