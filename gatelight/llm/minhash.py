@@ -228,16 +228,21 @@ def _grouped(spark: SparkSession, docs: DataFrame, least: float, n: int, groups:
     member = _members(spark, reps, kind, groups, broadcast_bytes)
     active = materialize(member.select("id").distinct())
     _, some = held(spark, text, F.col("id"), active, broadcast_bytes)
-    sets = materialize(some.mapInArrow(lambda it: _sets(it, n), f"id {kind}, s array<int>").join(active, "id", "left_semi").dropDuplicates(["id"]))
+    sets = some.mapInArrow(lambda it: _sets(it, n), f"id {kind}, s array<int>")
+    sets = materialize(sets if again is None else sets.dropDuplicates(["id"]))
     size = sets.select("id", F.size("s").alias("n"))
 
     def end(x: str, value: DataFrame, name: str) -> DataFrame:
         return value.select(F.col("id").alias(x), F.col(name).alias(f"{name}{x}"))
 
+    def needed(ids: DataFrame) -> DataFrame:
+        """The sets of these ids, and few others."""
+        return held(spark, sets, F.col("id"), ids.distinct(), broadcast_bytes)[1]
+
     def verified(pairs: DataFrame) -> DataFrame:
         # sizes alone rule out many; sets go only to the others
-        fit = pairs.join(end("a", size, "n"), "a").join(end("b", size, "n"), "b").where(F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb")).select("a", "b")
-        both = fit.join(end("a", sets, "s"), "a").join(end("b", sets, "s"), "b")
+        fit = materialize(pairs.join(end("a", size, "n"), "a").join(end("b", size, "n"), "b").where(F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb")).select("a", "b"))
+        both = fit.join(end("a", needed(fit.select("a")), "s"), "a").join(end("b", needed(fit.select("b")), "s"), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         return materialize(both.where(common >= F.lit(least) * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
 
@@ -261,7 +266,7 @@ def _grouped(spark: SparkSession, docs: DataFrame, least: float, n: int, groups:
         own = left.select("key", "id", "label", F.pmod(F.xxhash64("id", "key"), blocks).cast("int").alias("own"), blocks.alias("blocks"))
         each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         each = each.select("key", "id", "label", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
-        last = each.join(sets, "id").groupBy("key", "p", "q").applyInArrow(lambda table: _compare(table, least), f"a {kind}, b {kind}")
+        last = each.join(needed(left.select("id")), "id").groupBy("key", "p", "q").applyInArrow(lambda table: _compare(table, least), f"a {kind}, b {kind}")
         edges = edges.unionByName(materialize(last.distinct()))
     return components(edges.unionByName(copies)).select("id", F.col("label").alias("group")), again
 
