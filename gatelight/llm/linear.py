@@ -107,28 +107,28 @@ def spread(spark: SparkSession) -> Callable:
 
 
 class Sparse:
-    """Rows of features, as flat pairs in the rows' order."""
+    """Rows of binary features, as flat pairs in the rows' order; ``scale`` multiplies a whole row."""
 
-    def __init__(self, row: np.ndarray, col: np.ndarray, n: int, width: int, value: np.ndarray | None = None) -> None:
-        self.row, self.col, self.n, self.width, self.value = row, col, n, width, value
-        self._by_row, self._order, self._by_col = _runs(row), np.argsort(col, kind="stable"), None
+    def __init__(self, row: np.ndarray, col: np.ndarray, n: int, width: int, scale: np.ndarray | None = None) -> None:
+        self.row, self.col, self.n, self.width, self.scale = row.astype(np.int32), col.astype(np.int32), n, width, scale
+        self._by_row, self._by_col = _runs(self.row), None
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        x = w[self.col]
-        return _summed(x if self.value is None else x * self.value, *self._by_row, self.n)
+        out = _summed(w[self.col], *self._by_row, self.n)
+        return out if self.scale is None else out * self.scale
 
     def tdot(self, g: np.ndarray) -> np.ndarray:
         if self._by_col is None:
-            self._by_col = (*_runs(self.col[self._order]), self.row[self._order].astype(np.int32), None if self.value is None else self.value[self._order])
-        at, which, row, value = self._by_col
-        x = g[row]
-        return _summed(x if value is None else x * value, at, which, self.width)
+            order = np.argsort(self.col, kind="stable")
+            self._by_col = (*_runs(self.col[order]), self.row[order])
+        at, which, row = self._by_col
+        return _summed((g if self.scale is None else g * self.scale)[row], at, which, self.width)
 
     def take(self, rows: np.ndarray) -> Sparse:
-        new = np.full(self.n, -1)
+        new = np.full(self.n, -1, np.int32)
         new[rows] = np.arange(len(rows))
         keep = new[self.row] >= 0
-        return Sparse(new[self.row[keep]], self.col[keep], len(rows), self.width, None if self.value is None else self.value[keep])
+        return Sparse(new[self.row[keep]], self.col[keep], len(rows), self.width, None if self.scale is None else self.scale[rows])
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -81,9 +81,11 @@ def fit_rows(row: np.ndarray, col: np.ndarray, y: np.ndarray, l2: float = 0.05,
         return Ordinal([float(g) for g in grades] or [0.0], np.zeros(1 << BITS), np.zeros(0))
     rank = np.searchsorted(grades, y)
     size = np.maximum(np.bincount(row, minlength=n), 1)
-    seen, slot = np.unique(col, return_inverse=True)
+    seen = np.flatnonzero(np.bincount(col, minlength=1 << BITS))
     w = len(seen)
-    x = Sparse(row, slot, n, w, 1 / np.sqrt(size)[row])
+    slot = np.zeros(1 << BITS, np.int32)
+    slot[seen] = np.arange(w)
+    x = Sparse(row, slot[col], n, w, 1 / np.sqrt(size))
     share = np.array([(rank >= j).mean() for j in range(1, k)])
     at = -np.log(share / (1 - share))
     theta = np.concatenate([np.zeros(w), [at[0]], np.log(np.maximum(np.diff(at), 1e-3))])
@@ -125,7 +127,7 @@ def graded(labels: DataFrame) -> DataFrame:
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Ordinal:
     table = sample(docs, graded(labels), [F.col("grade")], ["grade"], rows, features)
     f, y = collected(table, ["grade"])
-    return fit_rows(np.repeat(np.arange(len(f)), [len(x) for x in f]), np.concatenate(f).astype(np.int64) if f else np.zeros(0, np.int64), y["grade"])
+    return fit_rows(np.repeat(np.arange(len(f), dtype=np.int32), [len(x) for x in f]), np.concatenate(f) if f else np.zeros(0, np.int32), y["grade"])
 
 
 def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, tail: int = TAIL, cut: float = CUT, rows: int = ROWS) -> DataFrame:
