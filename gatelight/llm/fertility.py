@@ -41,20 +41,54 @@ from .words import buffers, pieces
 
 REACH, LEAST_TOKENS, LEAST_DOCS = 3.0, 32, 50
 METRICS = {"chars_per_token": 0.25, "fallback_share": 0.05, "token_entropy": 0.1}
-SCRIPTS = ("none", "latin", "greek", "cyrillic", "hebrew", "arabic", "indic", "cjk", "hangul", "other")
 _GRID = 256
-
-# by a character's first UTF-8 byte
-_SCRIPT = np.zeros(256, np.int64)
-_SCRIPT[[*range(65, 91), *range(97, 123), *range(0xC3, 0xCA)]] = 1
-_SCRIPT[[0xCE, 0xCF]] = 2
-_SCRIPT[0xD0:0xD4] = 3
-_SCRIPT[[0xD6, 0xD7]] = 4
-_SCRIPT[0xD8:0xDC] = 5
-_SCRIPT[0xE0] = 6
-_SCRIPT[0xE3:0xEA] = 7
-_SCRIPT[0xEA:0xEE] = 8
-_SCRIPT[0xEE:0xF5] = 9
+#: Bands up to so many are broadcast to the documents; beyond that (odd values of lang) they are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+
+#: Scripts and their ranges of code points, letters and marks; what is in none (digits, punctuation, symbols) has no script.
+_RANGES = {
+    "latin": "41-5A 61-7A AA BA C0-D6 D8-F6 F8-2B8 2E0-2E4 1D00-1D25 1E00-1EFF 2C60-2C7F A722-A787 A78B-A7CA AB30-AB5A FB00-FB06 FF21-FF3A FF41-FF5A",
+    "greek": "370-373 376-377 37B-37D 37F 386 388-38A 38C 38E-3A1 3A3-3E1 3F0-3FF 1F00-1F15 1F18-1F1D 1F20-1F45 1F48-1F4D 1F50-1F57 1F5F-1F7D 1F80-1FB4 1FB6-1FBC 1FC2-1FC4 1FC6-1FCC 1FD0-1FD3 1FD6-1FDB 1FE0-1FEC 1FF2-1FF4 1FF6-1FFC",
+    "cyrillic": "400-484 487-52F 1C80-1C88 2DE0-2DFF A640-A69F", "armenian": "531-556 559-58A", "hebrew": "591-5C7 5D0-5EA 5EF-5F4 FB1D-FB36 FB38-FB3C FB46-FB4F",
+    "arabic": "610-61A 620-63F 641-64A 656-66F 671-6DC 6DE-6FF 750-77F 8A0-8E1 8E3-8FF FB50-FBB1 FBD3-FD3D FD50-FD8F FE70-FE74 FE76-FEFC", "syriac": "710-74A 74D-74F", "thaana": "780-7B1",
+    "devanagari": "900-950 955-963 966-97F A8E0-A8FF", "bengali": "980-983 985-9FE", "gurmukhi": "A01-A76", "gujarati": "A81-AFF", "oriya": "B01-B77", "tamil": "B82-BFA", "telugu": "C00-C7F", "kannada": "C80-CF3", "malayalam": "D00-D7F", "sinhala": "D81-DF4",
+    "thai": "E01-E3A E40-E5B", "lao": "E81-EDF", "tibetan": "F00-FD4", "myanmar": "1000-109F A9E0-A9FE AA60-AA7F", "georgian": "10A0-10C5 10C7 10CD 10D0-10FA 10FC-10FF 1C90-1CBA 1CBD-1CBF 2D00-2D25", "hangul": "1100-11FF 3131-318E A960-A97C AC00-D7A3 D7B0-D7FB FFA0-FFDC",
+    "ethiopic": "1200-139F 2D80-2DDE AB01-AB2E", "cherokee": "13A0-13F5 13F8-13FD AB70-ABBF", "canadian": "1400-167F", "khmer": "1780-17DD 17E0-17E9", "mongolian": "1810-1819 1820-18AA",
+    "kana": "3041-3096 309D-309F 30A1-30FA 30FD-30FF 31F0-31FF FF66-FF6F FF71-FF9D", "bopomofo": "3105-312F 31A0-31BF", "yi": "A000-A48C A490-A4C6", "han": "2E80-2E99 2E9B-2EF3 2F00-2FD5 3005 3007 3021-3029 3038-303B 3400-4DBF 4E00-9FFF F900-FA6D FA70-FAD9 20000-323AF",
+}
+SCRIPTS = ("none", *_RANGES)
+
+
+def _table() -> tuple[np.ndarray, np.ndarray]:
+    """Where ranges begin, in order, and the script from there on."""
+    cut = [(0, 0)]
+    for k, name in enumerate(_RANGES, 1):
+        for part in _RANGES[name].split():
+            lo, hi = (int(x, 16) for x in (part.split("-") * 2)[:2])
+            cut += [(lo, k), (hi + 1, 0)]
+    # a range that begins where another ends goes before that end
+    cut.sort(key=lambda c: (c[0], c[1] > 0))
+    return np.array([c[0] for c in cut]), np.array([c[1] for c in cut])
+
+
+_FROM, _KIND = _table()
+
+
+def scripts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The script number of each character of UTF-8 text, by its code point."""
+    at = np.flatnonzero(begins)
+    lead = data[at].astype(np.int64)
+    code = lead.copy()
+    wide = np.flatnonzero(lead >= 0xC0)
+    if len(wide):
+        own, p = lead[wide], at[wide]
+        size = np.where(own < 0xE0, 2, np.where(own < 0xF0, 3, 4))
+        value = own & (0xFF >> (size + 1))
+        for k in (1, 2, 3):
+            nxt = data[np.minimum(p + k, len(data) - 1)].astype(np.int64) & 0x3F
+            value = np.where(size > k, (value << 6) | nxt, value)
+        code[wide] = value
+    return _KIND[np.searchsorted(_FROM, code, "right") - 1]
 
 
 def measure(data: np.ndarray, offs: np.ndarray, path: str | None = None) -> tuple[np.ndarray, ...]:
@@ -63,8 +97,7 @@ def measure(data: np.ndarray, offs: np.ndarray, path: str | None = None) -> tupl
     doc = np.repeat(np.arange(n), np.diff(offs))
     begins = (data & 0xC0) != 0x80
     chars = np.bincount(doc[begins], minlength=n)
-    kind = _SCRIPT[data]
-    seen = np.bincount(doc[begins] * len(SCRIPTS) + kind[begins], minlength=n * len(SCRIPTS)).reshape(n, -1)
+    seen = np.bincount(doc[begins] * len(SCRIPTS) + scripts(data, begins), minlength=n * len(SCRIPTS)).reshape(n, -1)
     seen[:, 0] = 0
     script = np.where(seen.any(1), seen.argmax(1), 0)
     ids, size = byte_bpe(path).batch(data, offs)
@@ -136,7 +169,7 @@ def bands(found: DataFrame, reach: float, floors: dict[str, float], least_tokens
     return cut.groupBy("band", "size_class").agg(*[F.max(F.when(F.col("metric") == m, F.col(e))).alias(f"{e}_{m}") for m in floors for e in ("low", "high")])
 
 
-def fertility(spark: SparkSession, docs: DataFrame, reach: float = REACH, floors: dict[str, float] | None = None, least_tokens: int = LEAST_TOKENS, least_docs: int = LEAST_DOCS, path: str | None = None, borrow: bool = False) -> DataFrame:
+def fertility(spark: SparkSession, docs: DataFrame, reach: float = REACH, floors: dict[str, float] | None = None, least_tokens: int = LEAST_TOKENS, least_docs: int = LEAST_DOCS, path: str | None = None, borrow: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, band, n_tokens, the three metrics, and whether the document is rejected, for each row."""
     floors = floors or METRICS
     lang = field("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
@@ -144,10 +177,12 @@ def fertility(spark: SparkSession, docs: DataFrame, reach: float = REACH, floors
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = own.mapInArrow(lambda it: _measured(it, path), f"doc_id {kind}, lang string, script string, n_tokens long, " + ", ".join(f"{m} double" for m in METRICS))
     found = _grouped(materialize(found))
-    # some rows for each language or script, so it stays small however many documents there are
+    # some rows for each language or script; few, unless lang holds odd values
     cut = materialize(bands(found, reach, floors, least_tokens, least_docs, borrow))
     whole = cut.where("band is null").select("size_class", *[F.col(c).alias(f"all_{c}") for c in cut.columns[2:]])
-    both = found.join(F.broadcast(cut.where("band is not null")), ["band", "size_class"], "left").join(F.broadcast(whole), "size_class", "left")
+    named = cut.where("band is not null")
+    named = F.broadcast(named) if named.count() <= broadcast_rows else named
+    both = found.join(named, ["band", "size_class"], "left").join(F.broadcast(whole), "size_class", "left")
     outside = [(F.col(m) < F.coalesce(f"low_{m}", f"all_low_{m}")) | (F.col(m) > F.coalesce(f"high_{m}", f"all_high_{m}")) for m in floors]
     rejected = F.lit(False)
     for x in outside:

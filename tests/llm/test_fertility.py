@@ -1,6 +1,10 @@
 import math
 from collections import Counter
 
+import numpy as np
+import pytest
+import regex
+
 from gatelight.llm import fertility as fe
 from gatelight.llm.tokens import word_pieces
 
@@ -69,3 +73,36 @@ def test_empty_and_script(spark, no_docs, odd_docs):
     assert fe.fertility(spark, no_docs).count() == 0
     got = {r.doc_id: r.band for r in fe.fertility(spark, odd_docs.drop("lang")).collect()}
     assert got[4] == "script:none" and got[1] == "script:latin"
+
+
+TEXTS = {
+    "latin": "Việt ngữ có những chữ riêng ấ ờ ỡ", "greek": "Ελληνικά και ἀρχαῖος λόγος", "cyrillic": "русский текст і українська", "armenian": "հայերեն տեքստ", "hebrew": "טקסט בעברית", "arabic": "نص عربي",
+    "devanagari": "हिन्दी पाठ", "tamil": "தமிழ் உரை", "thai": "ข้อความไทย", "georgian": "ქართული ტექსტი", "ethiopic": "አማርኛ ጽሑፍ", "myanmar": "မြန်မာစာ", "hangul": "한국어 문장", "kana": "ひらがなとカタカナ", "han": "中文文本漢字𠀀", "yi": "ꆈꌠꉙ", "none": "123 … 🎉 €",
+}
+
+
+@pytest.mark.parametrize("name", TEXTS)
+def test_script_of_a_text(name):
+    raw = TEXTS[name].encode()
+    script = fe.measure(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[1]
+    assert fe.SCRIPTS[script[0]] == name
+
+
+def test_scripts_by_the_unicode_tables():
+    """Every letter's script is that of the regex library's tables, for the scripts that are told apart."""
+    names = {"canadian": "Canadian_Aboriginal", "kana": "Hiragana"}
+    tests = {s: regex.compile(rf"[\p{{Script={names.get(s, s)}}}{'\\p{Script=Katakana}' if s == 'kana' else ''}]") for s in fe.SCRIPTS[1:]}
+    letter = regex.compile(r"[\p{Ll}\p{Lu}\p{Lo}]")
+    codes = [c for c in [*range(0x3100), *range(0xA000, 0xD7FF, 3), *range(0x4E00, 0xA000, 97), *range(0x20000, 0x20100)] if not 0xD800 <= c < 0xE000 and letter.match(chr(c))]
+    raw = "".join(map(chr, codes)).encode()
+    data = np.frombuffer(raw, np.uint8)
+    got = fe.scripts(data, (data & 0xC0) != 0x80)
+    wrong = [(hex(c), fe.SCRIPTS[k]) for c, k in zip(codes, got.tolist()) if (k and not tests[fe.SCRIPTS[k]].match(chr(c))) or (not k and any(t.match(chr(c)) for t in tests.values()))]
+    assert len(wrong) <= 0.004 * len(codes), wrong[:40]
+
+
+def test_bands_by_a_shuffle(spark, rng):
+    rows = [(i, words(rng, rng.randint(40, 100)), f"l{i % 3}") for i in range(180)] + [(999, "aaaa " * 150, "l0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    both = [sorted(map(str, fe.fertility(spark, docs, borrow=True, broadcast_rows=n).collect())) for n in (fe.BROADCAST_ROWS, 0)]
+    assert both[0] == both[1]
