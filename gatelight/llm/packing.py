@@ -121,5 +121,6 @@ def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, full: f
     out = done[0].withColumn("level", F.lit(0))
     for k, x in enumerate(done[1:], 1):
         out = out.unionByName(x.withColumn("level", F.lit(k)))
-    out = out.withColumn("bin_id", F.xxhash64("level", "part", "no", "ids", "starts"))
+    # no two bins share level, part and number: 4, 31 and 28 bits
+    out = out.withColumn("bin_id", F.shiftleft(F.col("level").cast("long"), 59).bitwiseOR(F.shiftleft("part", 28)).bitwiseOR(F.col("no").cast("long")))
     return out.select("bin_id", "used", F.col("ids").alias("doc_ids"), "starts", F.col("lens").alias("lengths"))
