@@ -61,6 +61,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul br".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 _FENCE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "option": {"select"}}
+#: A slash that ends a tag by itself, and isn't the end of a bare value.
+_SELF = re.compile(r"(?:^|[\s\"'])/$")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|\n+")
 
 
@@ -79,6 +81,7 @@ def parse(html: str, depth: int = DEPTH) -> Node:
     """The page's tree; text runs are ``#text`` nodes."""
     root = Node("#root")
     stack = [root]
+    over: list[str] = []  # open elements below the last level
     at, end = 0, len(html)
     match = _TOKEN.match
     while at < end:
@@ -98,9 +101,14 @@ def parse(html: str, depth: int = DEPTH) -> Node:
             continue
         tag = tag.lower()
         if close:
+            if tag in over:
+                while over.pop() != tag:
+                    pass
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
+                    over.clear()
                     break
             continue
         if tag in _RAW:
@@ -110,14 +118,14 @@ def parse(html: str, depth: int = DEPTH) -> Node:
             if tag not in _SILENT and body.strip():
                 stack[-1].kids.append(Node("#text", "", entities.unescape(body)))
             continue
-        if tag in _BLOCK and tag != "br":
+        if tag in _BLOCK and tag != "br" and not over:
             for i in range(len(stack) - 1, 0, -1):  # a block element ends an open paragraph
                 if stack[i].tag == "p":
                     del stack[i:]
                     break
                 if stack[i].tag in ("td", "th", "li", "div", "button"):
                     break
-        if tag in _CLOSES:
+        if tag in _CLOSES and not over:
             fence, cut = _FENCE[tag], len(stack)
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in fence:
@@ -135,8 +143,11 @@ def parse(html: str, depth: int = DEPTH) -> Node:
             continue
         node = Node(tag, attrs)
         stack[-1].kids.append(node)
-        if len(stack) <= depth and not attrs.endswith("/"):
-            stack.append(node)
+        if not _SELF.search(attrs):
+            if len(stack) <= depth and not over:
+                stack.append(node)
+            else:
+                over.append(tag)
     return root
 
 

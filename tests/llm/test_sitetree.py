@@ -146,3 +146,60 @@ def test_sections_of_a_large_host(spark):
     rows = [(k, f"http://big.example/{k}", page(k, f"<p>Unique text number {k}.</p>", f"Footer of section {k % 50}.")) for k in range(300)]
     got = st.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in got} == {k: f"Title {k}\nUnique text number {k}." for k in range(300)}
+
+
+def xml_tree(text):
+    """(tag, class words, children) by an XML parser; text runs as strings."""
+    from xml.etree import ElementTree
+
+    def one(e):
+        kids = [e.text] if (e.text or "").strip() else []
+        for kid in e:
+            kids.append(one(kid))
+            if (kid.tail or "").strip():
+                kids.append(kid.tail)
+        return e.tag, sorted(e.get("class", "").split()), kids
+
+    return one(ElementTree.fromstring(text))
+
+
+def own_tree(node):
+    return node.text if node.tag == "#text" else (node.tag, sorted(node.sign.split()[1:]), [own_tree(k) for k in node.kids])
+
+
+def test_parser_against_an_xml_parser():
+    """Well-formed pages give the tree that an XML parser gives."""
+    import random
+
+    rng = random.Random(12)
+
+    def made(level):
+        if level > 5 or rng.random() < 0.3:
+            return f"text {rng.randrange(99)} &amp; more"
+        tag = rng.choice(["div", "section", "span", "em", "article", "b"])
+        look = rng.choice(["", " class='a'", ' class="b a"', ' id="x" class="c"'])
+        return f"<{tag}{look}>" + "".join(made(level + 1) for _ in range(rng.randint(0, 4))) + f"</{tag}>"
+
+    for _ in range(60):
+        page = f"<html><body>{''.join(made(0) for _ in range(4))}<img src='x.png'/><hr/></body></html>"
+        joined = lambda t: t if isinstance(t, str) else (t[0], t[1], [joined(k) for k in merged(t[2])])
+
+        def merged(kids):
+            out = []
+            for k in kids:
+                if isinstance(k, str) and out and isinstance(out[-1], str):
+                    out[-1] += k
+                else:
+                    out.append(k)
+            return out
+
+        assert joined(own_tree(st.parse(page).kids[0])) == joined(xml_tree(page))
+
+
+def test_slashes_and_depth():
+    a = st.parse("<a href=/>home</a><a href=http://x/>away</a><div class='k'/>after")
+    assert [k.tag for k in a.kids] == ["a", "a", "div", "#text"] and [k.kids[0].text for k in a.kids[:2]] == ["home", "away"]
+    # elements below the last level end without ending those above
+    page = "<div>" * 3 + "<p><b>deep</b></p>" + "</div>" * 3 + "<em>next</em>"
+    got = st.parse(page, depth=3)
+    assert [k.tag for k in got.kids] == ["div", "em"]
