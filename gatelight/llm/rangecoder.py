@@ -1,16 +1,19 @@
 """Token ids as compressed binary: an adaptive context-mixing range coder in independent blocks.
 
-A block of up to ``BLOCK`` ids is coded by one number in [0, 1) that a range coder narrows down id by
-id. The share of the range that an id gets is mixed from three predictions:
+A block of up to ``BLOCK`` ids is coded by one number in [0, 1) that a range coder narrows down id by id:
 
-* order 2: the id that followed the last time the two preceding ids (hashed to 16 bits) stood here;
-* order 1: the same for the one preceding id;
-* order 0: counts of the block's ids so far, on a prior that falls with the id's rank.
+* Order 2 predicts the last two different ids that followed the two preceding ids, order 1 the last two that
+  followed the one preceding id.
+* How likely each prediction is, and that none holds, is mixed from two sets of counts, one by order 2's
+  context (how often in a row it has been right lately, and how its prediction fared here), one by order 1's.
+  The mixture's weights are learned too: each set's share of what was given to what came, apart for how
+  long order 2 has been right.
+* Order 0 codes what none predicts: counts of the block's ids so far, on a prior that falls with the id's rank,
+  without the ids that were predicted in vain.
 
-How much of the range the order-2 and the order-1 prediction get depends on a state: how both fared the
-last two times in their contexts and whether they agree. Each state learns its hit rates. Counts and
-rates take effect at the ends of segments (``segments``), so an encoder can work on whole segments at
-once, and on many blocks in lockstep. All arithmetic is on integers, so every machine gives the same.
+Contexts take effect with each id, the mixture's counts and weights every ``_STEP`` ids, order-0 counts every 256
+(sooner at the beginning), so many blocks can be coded, and decoded, in lockstep. Only sums, products and
+quotients in a fixed order are taken, of integers or IEEE singles, so every machine gives the same.
 
 Every block begins with an empty model and carries the CRC-32 of its ids (little-endian 16 bit); a
 decoder checks it. A lost or damaged block harms no other. Carries of the range coder are resolved
@@ -19,7 +22,7 @@ when a block is complete.
 * A document is its ids and an end-of-document id; blocks run over document borders, and list which
   tokens of which documents they hold: (doc_id, first token, number of tokens).
 * A null or empty text is the end-of-document id alone. Repeated rows are coded again. An empty table
-  has no block. Other columns are not read.
+  has no block. Other columns are not read, whatever their names.
 * Blocks don't cross input partitions, so where they end depends on how the table is split; the tokens
   don't.
 """
@@ -27,6 +30,7 @@ when a block is complete.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,97 +44,152 @@ from .words import buffers
 
 BLOCK = 16_384
 #: Blocks coded in lockstep.
-LANES = 256
+LANES = 512
 EOD = 50_256
 VOCAB = 50_257
-_T = 24
-_TOTAL = 1 << _T
-#: The range that order 0 keeps at least; more than its counts' total can be.
-_REST = 1 << 20
-_LIMIT = _TOTAL - _REST
-_TIMES = 32
-_PRIOR = 1 + 4096 // (np.arange(VOCAB, dtype=np.int64) + 64)
+#: Ids by which counts and weights of the mixture lag at most.
+_STEP = 64
+#: The range is shared out in 2^26 parts. Order 0 keeps at least so many, more than its counts' total can be.
+_T, _REST = 26, 1 << 21
+_TIMES = 96
+_PRIOR = 1 + 8192 // (np.arange(VOCAB, dtype=np.int64) + 64)
+_BELOW = np.concatenate([[0], np.cumsum(_PRIOR)])
+_PRIORS, _BELOWS = _PRIOR.tolist(), _BELOW.tolist()
 _LOW = np.uint64((1 << 32) - 1)
-_STATES = 50
+#: Contexts of the two sets of counts, and classes of the weights.
+_SIZES, _CLASSES = (8 * 11 * 3, 4 * 11 * 3), 8
+_NONE = 4  # the kind of an id that none of the four predictions gives
+_START, _BOTH = np.float32(0.4), np.float32(2)
+#: How often in a row a context gave the same id, and how often order 2 was right, as classes.
+_RUN = np.array([0, 1, 2, 3, 4, 4, 4, 4, 5], np.int32)
+_HITS = np.array([0, 1, 2, 3, 4, 4, 4, 4, *[5] * 8, *[6] * 16, 7], np.int32)
+_RUNS, _HIT = _RUN.tolist(), _HITS.tolist()
 
 
 def segments(n: int) -> list[int]:
-    """Where segments end: 64, 128, 256 and so on, then each 2048 ids."""
+    """Where order-0 counts are brought up to date: 64, 128, 256 and then each 256 ids."""
     out, at = [], 64
     while at < n:
         out.append(at)
-        at += min(at, 2048)
+        at += min(at, 256)
     return [*out, n]
 
 
-def _before(key: np.ndarray) -> np.ndarray:
-    """The last earlier position with the same key, or -1."""
-    order = np.argsort(key, kind="stable")
-    out = np.full(len(key), -1, np.int64)
-    same = key[order[1:]] == key[order[:-1]]
-    out[order[1:][same]] = order[:-1][same]
-    return out
-
-
-def _history(ids: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What a context predicts (-1: nothing) and how it fared: 0 for nothing, 1 + two bits of hits."""
-    known = before >= 0
-    guess = np.where(known, ids[before], -1)
-    hit = (guess == ids).astype(np.int64)
-    twice = np.where(known, before[before], -1)
-    state = np.where(known, 1 + 2 * hit[before] + np.where(known & (twice >= 0), hit[twice], 0), 0)
-    return guess, state
-
-
-def _contexts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    one = np.concatenate([[EOD], ids[:-1]]).astype(np.uint32)
-    two = np.concatenate([[EOD, EOD], ids[:-2]])[: len(ids)].astype(np.uint32)
-    return one.astype(np.uint16), (((one * np.uint32(0x9E3779B1)) ^ (two * np.uint32(0x85EBCA6B))) >> np.uint32(16)).astype(np.uint16)
-
-
-def intervals(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each id's share of the range begins, and how much it is, of 2^24."""
-    ids = ids.astype(np.int64)
-    if len(ids) * _TIMES + _PRIOR.sum() > _REST:
-        raise ValueError(f"a block holds at most {(_REST - _PRIOR.sum()) // _TIMES} ids")
-    one, two = _contexts(ids)
-    guess1, state1 = _history(ids, _before(one))
-    guess2, state2 = _history(ids, _before(two))
-    agree = guess1 == guess2
-    guess1 = np.where(agree, -1, guess1)
-    state = (state2 * 5 + state1) * 2 + agree
-    hit2, hit1 = ids == guess2, ids == guess1
-    kind = np.where(hit2, 0, np.where(hit1, 1, 2))
-    begin, share = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
-    tally = np.zeros((_STATES, 3), np.int64)
-    counts = _PRIOR.copy()
-    a = 0
-    for b in segments(len(ids)):
-        own = ids[a:b]
-        mass2, mass1 = _masses(tally)
-        m2, m1 = mass2[state[a:b]], mass1[state[a:b]]
-        upto = np.cumsum(counts)
-        total = upto[-1]
-        rest = _TOTAL - m2 - m1
-        low = m2 + m1 + (upto[own] - counts[own]) * rest // total
-        high = m2 + m1 + upto[own] * rest // total
-        k = kind[a:b]
-        begin[a:b] = np.where(k == 0, 0, np.where(k == 1, m2, low))
-        share[a:b] = np.where(k == 0, m2, np.where(k == 1, m1, high - low))
-        tally += np.bincount(state[a:b] * 3 + k, minlength=_STATES * 3).reshape(-1, 3)
-        counts += _TIMES * np.bincount(own, minlength=VOCAB)
-        a = b
-    return begin, share
-
-
-def _masses(tally: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The range that a state gives to the order-2 and the order-1 prediction."""
-    n = 2 * tally.sum(1) + 8
-    m2, m1 = (2 * tally[:, 0] + 1) * _LIMIT // n, (2 * tally[:, 1] + 1) * _LIMIT // n
-    s = np.arange(_STATES)
-    m2[s // 10 == 0] = 0  # no order-2 prediction
-    m1[((s // 2) % 5 == 0) | (s % 2 == 1)] = 0  # none of order 1, or the same
-    return m2, m1
+def _history(ids: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The last id that followed each id's context, the last other one before it (-1: none), and a state."""
+    n = len(ids)
+    t = np.arange(n, dtype=np.int32)
+    ranked = np.sort((key << 14) | t)
+    order = (ranked & 0x3FFF).astype(np.int32)
+    x = ids[order]
+    fresh = np.ones(n, bool)
+    np.greater(ranked[1:] - (ranked[1:] & 0x3FFF), ranked[:-1], out=fresh[1:])
+    turn = fresh.copy()
+    turn[1:] |= x[1:] != x[:-1]
+    run = np.maximum.accumulate(np.where(turn, t, 0))
+    begin = np.maximum.accumulate(np.where(fresh, t, 0))
+    run[1:], run[0] = run[:-1], 0  # that of the one before
+    known = ~fresh
+    other = known & (run > begin)
+    out = np.empty((3, n), np.int32)
+    a = np.where(known, np.concatenate([x[:1], x[:-1]]), -1)
+    b = np.where(other, x[np.maximum(run - 1, 0)], -1)
+    state = np.where(known, 2 * _RUN[np.minimum(t - run, 8)] - 1 + other, 0)
+    out[0, order], out[1, order], out[2, order] = a, b, state
+    return out[0], out[1], out[2]
+
+
+def prepared(ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What a block's coding needs of each id: both contexts and the class, as one number each; whether order 1's
+    predictions count; which prediction holds (4: none); and, where none does, begin, share and total of order 0."""
+    ids = ids.astype(np.int32)
+    n = len(ids)
+    if n > 1 << 14:
+        raise ValueError(f"a block holds at most {1 << 14} ids")
+    one = np.concatenate([[EOD], ids[:-1]]).astype(np.int64)
+    two = np.concatenate([[EOD, EOD], ids[:-2]])[:n].astype(np.int64)
+    a2, b2, s2 = _history(ids, (one << 16) | two)
+    a1, b1, s1 = _history(ids, one)
+    there1, there2 = (a1 >= 0) & (a1 != a2) & (a1 != b2), (b1 >= 0) & (b1 != a2) & (b1 != b2)
+    right = a2 == ids
+    kind = np.full(n, _NONE, np.int8)
+    for k, hit in ((3, there2 & (b1 == ids)), (2, there1 & (a1 == ids)), (1, b2 == ids), (0, right)):
+        kind[hit] = k
+    t = np.arange(n, dtype=np.int32)
+    miss = np.maximum.accumulate(np.where(right, -1, t))
+    hits = np.zeros(n, np.int32)
+    hits[1:] = t[1:] - 1 - miss[:-1]
+    h = _HITS[np.minimum(hits, 32)]
+    agree = np.where(a2 < 0, 0, np.where(a1 == a2, 1, 2)).astype(np.int32)
+    own = np.stack([(h * 11 + s2) * 3 + agree, (np.minimum(h, 3) * 11 + s1) * 3 + agree, h]).astype(np.int16)
+    tail = np.zeros((3, n), np.uint32)
+    known = np.flatnonzero(np.bincount(ids, minlength=VOCAB))
+    rank = np.full(VOCAB + 1, len(known), np.int32)
+    rank[known] = np.arange(len(known))
+    mine = rank[ids]
+    vain = [rank[np.where(ok, c, VOCAB)] for c, ok in ((a2, a2 >= 0), (b2, b2 >= 0), (a1, there1), (b1, there2))]
+    count = np.append(_PRIOR[known], 0).astype(np.int32)  # the last is for no prediction
+    gained, upto = np.zeros(len(known), np.int32), np.zeros(len(known) + 1, np.int32)
+    none = np.flatnonzero(kind == _NONE).astype(np.int32)
+    below = _BELOW[ids[none]].astype(np.int32)
+    ends = segments(n)
+    cut = np.searchsorted(none, [0, *ends])
+    begin = 0
+    for end, lo, hi in zip(ends, cut, cut[1:]):
+        at = none[lo:hi]
+        r = mine[at]
+        low = below[lo:hi] + upto[r]
+        total = np.full(hi - lo, _BELOWS[-1] + _TIMES * begin, np.int32)
+        for v in vain:
+            g = v[at]
+            c = count[g]
+            total -= c
+            low -= c * (g < r)
+        tail[0, at], tail[1, at], tail[2, at] = low, count[r], total
+        more = np.bincount(mine[begin:end], minlength=len(known)).astype(np.int32)
+        more *= _TIMES
+        gained += more
+        count[:-1] += more
+        np.cumsum(gained, out=upto[1:])
+        begin = end
+    return own, there1, there2, kind, tail
+
+
+class _Mixer:
+    """Counts and weights of some blocks, one block a lane."""
+
+    def __init__(self, lanes: int) -> None:
+        self.lanes = lanes
+        self.tally = [np.full((_NONE + 1, lanes * size), _START, np.float32) for size in _SIZES]
+        self.weight = np.full((2, lanes * _CLASSES), _BOTH, np.float32)
+
+    def masses(self, lane: np.ndarray, own: np.ndarray, there1: np.ndarray, there2: np.ndarray) -> tuple[list[np.ndarray], tuple]:
+        """Parts of 2^26 for the four predictions, and what ``learn`` needs."""
+        at = [lane * size + c for size, c in zip(_SIZES, own)]
+        place = lane * _CLASSES + own[2]
+        wa, wb = self.weight[0, place], self.weight[1, place]
+        whole = wa + wb
+        given = []
+        for tally, where, w in zip(self.tally, at, (wa, wb)):
+            c = [tally[k, where] for k in range(_NONE + 1)]
+            scale = w / (((((c[0] + c[1]) + c[2]) + c[3]) + c[4]) * whole)
+            given.append([x * scale for x in c])
+        p = [a + b for a, b in zip(*given)]
+        state = own[0] // 3 % 11  # of order 2: none, and even where it has two predictions
+        there = (state > 0, (state > 0) & (state % 2 == 0), there1, there2)
+        q = [x * ok for x, ok in zip(p, there)]
+        scale = np.float32((1 << _T) - _REST - 64) / ((((q[0] + q[1]) + q[2]) + q[3]) + p[4])
+        mass = [(x * scale).astype(np.int64) + ok for x, ok in zip(q, there)]
+        return mass, (at, place, given[0], p)
+
+    def learn(self, made: tuple, kind: np.ndarray) -> None:
+        """Take in what came, in the order of the arrays."""
+        at, place, first, p = made
+        for tally, where, size in zip(self.tally, at, _SIZES):
+            np.add.at(tally.reshape(-1), (kind * (self.lanes * size) + where).ravel(), np.float32(1))
+        share = np.choose(kind, first) / np.choose(kind, p)
+        np.add.at(self.weight[0], place.ravel(), share.ravel())
+        np.add.at(self.weight[1], place.ravel(), (np.float32(1) - share).ravel())
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
@@ -140,104 +199,172 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     size = np.array([len(blocks[i]) for i in order])
     n, lanes = int(size.max(initial=0)), len(blocks)
-    begin, share = np.zeros((n, lanes), np.uint32), np.zeros((n, lanes), np.uint32)
+    own, tail = np.zeros((3, lanes, n), np.int16), np.zeros((3, lanes, n), np.uint32)
+    there1, there2, kind = np.zeros((lanes, n), bool), np.zeros((lanes, n), bool), np.zeros((lanes, n), np.int8)
     for lane, i in enumerate(order):
-        b, s = intervals(blocks[i])
-        begin[: len(b), lane], share[: len(s), lane] = b, s
+        if k := len(blocks[i]):
+            own[:, lane, :k], there1[lane, :k], there2[lane, :k], kind[lane, :k], tail[:, lane, :k] = prepared(blocks[i])
+    mixer = _Mixer(lanes)
     low, wide = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 56, np.uint64)
-    out = np.zeros((n + 3) * lanes, np.uint32).reshape(-1, lanes)
-    at = np.zeros(lanes, np.int64)
-    live = np.searchsorted(-size, -np.arange(n), "left")
-    t24, t32, least = np.uint64(_T), np.uint64(32), np.uint64(1 << 32)
-    for t in range(n):
-        k = int(live[t])
-        part = wide[:k] >> t24
-        low[:k] += part * begin[t, :k]
-        part *= share[t, :k]
-        wide[:k] = part
-        j = np.flatnonzero(part < least)
-        if len(j):
-            x = low[j]
-            out[at[j], j] = x >> t32
-            at[j] += 1
-            low[j] = (x & _LOW) << t24
-            wide[j] = part[j] << t24
+    out = np.zeros((2 * n + 4) * lanes, np.uint32)
+    at = np.arange(lanes)  # where each lane's next word goes; its words are ``lanes`` apart
+    live = np.searchsorted(-size, -np.arange(n + 1), "left")
+    own_bits, t32, t24, least = np.uint64(_T), np.uint64(32), np.uint64(24), np.uint64(1 << 32)
+    step = np.arange(lanes)[:, None]
+    for a in range(0, n, _STEP):
+        b = min(a + _STEP, n)
+        k = int(live[a])
+        what = kind[:k, a:b].astype(np.int64)
+        mass, made = mixer.masses(step[:k], own[:, :k, a:b].astype(np.int64), there1[:k, a:b], there2[:k, a:b])
+        upto = [mass[0]]
+        for m in mass[1:]:
+            upto.append(upto[-1] + m)
+        rest = (1 << _T) - upto[-1]
+        x = tail[:, :k, a:b].astype(np.int64)
+        total = np.maximum(x[2], 1)
+        first = x[0] * rest // total
+        last = (x[0] + x[1]) * rest // total
+        begin = np.choose(what, [np.zeros_like(rest), *upto[:-1], upto[-1] + first])
+        share = np.choose(what, [*mass, last - first])
+        begin, share = (np.ascontiguousarray(y.T).astype(np.uint64) for y in (begin, share))
+        for t in range(b - a):
+            k = int(live[a + t])
+            w, l = wide[:k], low[:k]
+            part = w >> own_bits
+            l += part * begin[t, :k]
+            np.multiply(part, share[t, :k], out=w)
+            small = w < least
+            while small.any():
+                # 24 bits of the lanes whose range has become small; others' words are overwritten later
+                out[at[:k]] = l >> t32
+                at[:k] += small * lanes
+                by = small * t24
+                l[:] = np.where(small, l & _LOW, l) << by
+                w <<= by
+                small = w < least
+        # positions beyond a lane's end change only what it no longer uses
+        mixer.learn(made, what)
     codes: list[bytes] = [b""] * lanes
     for lane, i in enumerate(order):
         if not size[lane]:
             continue
-        # two words more than the model needs: any number in the last range will do
         x = int(low[lane])
-        words = [*out[: at[lane], lane].tolist(), x >> 32, (x >> 8) & 0xFFFFFF, (x & 0xFF) << 16]
+        words = [*out[lane : at[lane] : lanes].tolist(), x >> 32, (x >> 8) & 0xFFFFFF, (x & 0xFF) << 16]
         carry = 0
         for p in range(len(words) - 1, -1, -1):
             v = words[p] + carry
             words[p], carry = v & 0xFFFFFF, v >> 24
-        flat = np.array(words, ">u4").view(np.uint8).reshape(-1, 4)[:, 1:]
-        codes[i] = flat.tobytes()
+        codes[i] = np.array(words, ">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes()
     return codes
 
 
+class _Model:
+    """What a decoder knows of one block: its contexts and order-0 counts so far."""
+
+    def __init__(self) -> None:
+        self.ids: list[int] = []
+        self.contexts: tuple[dict, dict] = ({}, {})
+        self.seen: list[int] = []  # the counted ids in order
+        self.upto, self.hits = 64, 0
+
+    def look(self) -> tuple[int, int, int, bool, bool]:
+        """The two contexts and the class, and whether order 1's predictions count."""
+        one = self.ids[-1] if self.ids else EOD
+        two = self.ids[-2] if len(self.ids) > 1 else EOD
+        self.key = ((two, one), one)
+        a2, b2, run2 = self.contexts[0].get(self.key[0], (-1, -1, 0))
+        a1, b1, run1 = self.contexts[1].get(one, (-1, -1, 0))
+        self.cands = (a2, b2, a1, b1)
+        s2, s1 = (2 * _RUNS[min(r, 8)] - 1 + (b >= 0) if r else 0 for r, b in ((run2, b2), (run1, b1)))
+        h, agree = _HIT[min(self.hits, 32)], 0 if a2 < 0 else 1 if a1 == a2 else 2
+        self.there = (a2 >= 0, b2 >= 0, a1 >= 0 and a1 not in (a2, b2), b1 >= 0 and b1 not in (a2, b2))
+        return (h * 11 + s2) * 3 + agree, (min(h, 3) * 11 + s1) * 3 + agree, h, *self.there[2:]
+
+    def _upto(self, x: int) -> int:
+        return _BELOWS[x] + _TIMES * bisect_left(self.seen, x)
+
+    def rest(self, v: int, rest: int) -> tuple[int, int, int]:
+        """The id in whose part of the rest v lies, and that part's begin and size."""
+        vain = sorted((c, self._upto(c + 1) - self._upto(c)) for c, ok in zip(self.cands, self.there) if ok)
+        total = _BELOWS[-1] + _TIMES * len(self.seen) - sum(n for _, n in vain)
+        v = ((v + 1) * total - 1) // rest
+        gone = 0
+        for c, n in vain:
+            if v + gone >= self._upto(c):
+                gone += n
+        a, b = 0, VOCAB  # the greatest id that begins at v or before it
+        while b - a > 1:
+            mid = (a + b) >> 1
+            if self._upto(mid) <= v + gone:
+                a = mid
+            else:
+                b = mid
+        low, high = self._upto(a) - gone, self._upto(a + 1) - gone
+        return a, low * rest // total, high * rest // total - low * rest // total
+
+    def add(self, x: int) -> None:
+        self.hits = self.hits + 1 if self.cands[0] == x else 0
+        for table, key in zip(self.contexts, self.key):
+            a, b, run = table.get(key, (-1, -1, 0))
+            table[key] = (a, b, run + 1) if a == x else (x, a, 1)
+        self.ids.append(x)
+        if len(self.ids) == self.upto:
+            self.seen = sorted(self.ids)
+            self.upto += min(self.upto, 256)
+
+
 def decode(code: bytes, n: int, crc: int | None = None) -> np.ndarray:
     """The ids of a block; ValueError if they don't have the checksum."""
-    ids = np.zeros(n, np.int64)
-    words = np.frombuffer(code, np.uint8)
-    words = (words.reshape(-1, 3).astype(np.int64) @ np.array([65536, 256, 1])).tolist() + [0, 0, 0]
-    value = (words[0] << 32) | (words[1] << 8) | (words[2] >> 16) if n else 0
-    low_bits, at = (words[2] & 0xFFFF if n else 0), 3
-    # value has 56 bits of the code; the next 24 come from a half-used word
-    wide = 1 << 56
-    tally = np.zeros((_STATES, 3), np.int64)
-    counts = _PRIOR.copy()
-    ends = segments(n)
-    last1: dict[int, tuple[int, int, int]] = {}
-    last2: dict[int, tuple[int, int, int]] = {}
-    prev1 = prev2 = EOD
-    a = 0
-    for b in ends:
-        mass2, mass1 = (x.tolist() for x in _masses(tally))
-        upto = np.cumsum(counts)
-        total = int(upto[-1])
-        seen = []
-        for i in range(a, b):
-            key2 = (((prev1 * 0x9E3779B1) & 0xFFFFFFFF) ^ ((prev2 * 0x85EBCA6B) & 0xFFFFFFFF)) >> 16
-            g1, h1, hh1 = last1.get(prev1, (-1, -1, 0))
-            g2, h2, hh2 = last2.get(key2, (-1, -1, 0))
-            s1, s2 = (1 + 2 * h1 + hh1 if g1 >= 0 else 0), (1 + 2 * h2 + hh2 if g2 >= 0 else 0)
-            agree = g1 == g2
-            state = (s2 * 5 + s1) * 2 + agree
-            m2, m1 = mass2[state], mass1[state]
-            part = wide >> _T
-            v = min(value // part, _TOTAL - 1)
-            if v < m2:
-                x, begin, share, kind = g2, 0, m2, 0
-            elif v < m2 + m1:
-                x, begin, share, kind = g1, m2, m1, 1
+    return decode_all([code], [n], None if crc is None else [crc])[0]
+
+
+def decode_all(codes: list[bytes], sizes: list[int], crcs: list[int] | None = None) -> list[np.ndarray]:
+    """The ids of some blocks, decoded in lockstep; ValueError if any hasn't its checksum."""
+    order = sorted(range(len(codes)), key=lambda i: -sizes[i])
+    lanes, n = len(codes), max(sizes, default=0)
+    raw = [codes[i] for i in order]
+    value, at, wide = [int.from_bytes(c[:7].ljust(7, b"\0")) for c in raw], [7] * lanes, [1 << 56] * lanes
+    mixer, models = _Mixer(lanes), [_Model() for _ in range(lanes)]
+    live = np.searchsorted([-sizes[i] for i in order], -np.arange(n + 1), "left").tolist()
+    pending: list[tuple] = []
+    for t in range(n):
+        k = live[t]
+        seen = np.array([m.look() for m in models[:k]], np.int64).T
+        mass, made = mixer.masses(np.arange(k), seen[:3], seen[3] > 0, seen[4] > 0)
+        kinds = []
+        for i, own in enumerate(zip(*(m.tolist() for m in mass))):
+            m, part = models[i], wide[i] >> _T
+            v = min(value[i] // part, (1 << _T) - 1)
+            kind, begin = 0, 0
+            while kind < _NONE and v >= begin + own[kind]:
+                begin += own[kind]
+                kind += 1
+            if kind < _NONE:
+                x, share = m.cands[kind], own[kind]
             else:
-                base, rest = m2 + m1, _TOTAL - m2 - m1
-                x = int(np.searchsorted(upto, ((v - base + 1) * total - 1) // rest, "right"))
-                top = int(upto[x])
-                begin = base + (top - int(counts[x])) * rest // total
-                share, kind = base + top * rest // total - begin, 2
-            value -= part * begin
-            wide = part * share
-            if wide < 1 << 32:
-                wide <<= _T
-                nxt = words[at] if at < len(words) else 0
-                value = (value << _T) | (low_bits << 8) | (nxt >> 16)
-                low_bits = nxt & 0xFFFF
-                at += 1
-            ids[i] = x
-            seen.append(state * 3 + kind)
-            last1[prev1] = (x, int(x == g1), max(h1, 0))
-            last2[key2] = (x, int(x == g2), max(h2, 0))
-            prev2, prev1 = prev1, x
-        tally += np.bincount(np.array(seen, np.int64), minlength=_STATES * 3).reshape(-1, 3)
-        counts += _TIMES * np.bincount(ids[a:b], minlength=VOCAB)
-        a = b
-    if crc is not None and checksum(ids) != crc:
-        raise ValueError("the block is damaged: its checksum differs")
-    return ids
+                x, first, share = m.rest(v - begin, (1 << _T) - begin)
+                begin += first
+            value[i] -= part * begin
+            wide[i] = part * share
+            while 0 < wide[i] < 1 << 32:
+                wide[i] <<= 24
+                value[i] = (value[i] << 24) | int.from_bytes(raw[i][at[i] : at[i] + 3].ljust(3, b"\0"))
+                at[i] += 3
+            if not wide[i]:
+                raise ValueError("the block is damaged: it can't be read")
+            m.add(x)
+            kinds.append(kind)
+        pending.append((made, np.array(kinds)))
+        if len(pending) == _STEP or t + 1 == n:
+            for one in pending:
+                mixer.learn(*one)
+            pending = []
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * lanes
+    for i, m in zip(order, models):
+        out[i] = np.array(m.ids, np.int64)
+        if crcs is not None and checksum(out[i]) != crcs[i]:
+            raise ValueError("the block is damaged: its checksum differs")
+    return out
 
 
 def checksum(ids: np.ndarray) -> int:
@@ -313,6 +440,9 @@ def decoded(blocks: DataFrame) -> DataFrame:
 
     @F.arrow_udf("array<int>")
     def ids(code: pa.Array, n: pa.Array, crc: pa.Array) -> pa.Array:
-        return pa.array([decode(c, k, x).tolist() for c, k, x in zip(code.to_pylist(), n.to_pylist(), crc.to_pylist())], pa.list_(pa.int32()))
+        found: list[list[int]] = []
+        for lo in range(0, len(code), LANES):
+            found += [x.tolist() for x in decode_all(*(c.slice(lo, LANES).to_pylist() for c in (code, n, crc)))]
+        return pa.array(found, pa.list_(pa.int32()))
 
     return blocks.select("part", "block", ids("code", "n_tokens", "crc").alias("ids"))

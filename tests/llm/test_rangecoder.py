@@ -66,3 +66,38 @@ def test_damaged_table_raises(spark, odd_docs):
     bad = rc.coded(spark, odd_docs).withColumn("crc", F.col("crc") + 1)
     with pytest.raises(Exception, match="checksum"):
         rc.decoded(bad).collect()
+
+
+def test_beats_order_0_and_a_general_compressor(small):
+    """On real ids: less than 8.1 bits an id, than the entropy of single ids, and than LZMA block by block."""
+    import lzma
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from gatelight.llm.tokens import byte_bpe
+    from gatelight.llm.words import buffers
+
+    text = pq.read_table(f"{small}/../sf0.01/documents.parquet").column("text").combine_chunks().cast(pa.large_string())
+    ids, size = byte_bpe().batch(*buffers(text))
+    whole = np.insert(ids, np.cumsum(size), rc.EOD)
+    blocks = [whole[a : a + rc.BLOCK] for a in range(0, len(whole), rc.BLOCK)]
+    codes = rc.encode(blocks)
+    bits = sum(map(len, codes)) * 8 / len(whole)
+    share = np.bincount(whole)[np.unique(whole)] / len(whole)
+    plain = sum(len(lzma.compress(b.astype("<u2").tobytes(), preset=9)) for b in blocks) * 8 / len(whole)
+    assert bits < 8.1 and bits < -(share * np.log2(share)).sum() and bits < plain
+    some = [0, 7, len(blocks) - 1]
+    for i, got in zip(some, rc.decode_all([codes[i] for i in some], [len(blocks[i]) for i in some], [rc.checksum(blocks[i]) for i in some])):
+        assert (got == blocks[i]).all()
+
+
+def test_odd_blocks():
+    """Empty blocks, blocks of one id, of equal ids, and of the least and greatest ids; a block too long."""
+    blocks = [np.zeros(0, np.int64), np.array([rc.EOD]), np.zeros(5000, np.int64), np.array([0, rc.VOCAB - 1] * 300), np.arange(2000) * 25 % rc.VOCAB]
+    codes = rc.encode(blocks)
+    for got, want in zip(rc.decode_all(codes, [len(b) for b in blocks], [rc.checksum(b) for b in blocks]), blocks):
+        assert (got == want).all()
+    assert len(codes[0]) == 0 and len(codes[2]) < 300
+    with pytest.raises(ValueError, match="at most"):
+        rc.encode([np.zeros(rc.BLOCK + 1, np.int64)])
