@@ -47,13 +47,13 @@ BROADCAST_ROWS = 100_000
 
 #: Scripts and their ranges of code points, letters and marks; what is in none (digits, punctuation, symbols) has no script.
 _RANGES = {
-    "latin": "41-5A 61-7A AA BA C0-D6 D8-F6 F8-2B8 2E0-2E4 1D00-1D25 1E00-1EFF 2C60-2C7F A722-A787 A78B-A7CA AB30-AB5A FB00-FB06 FF21-FF3A FF41-FF5A",
-    "greek": "370-373 376-377 37B-37D 37F 386 388-38A 38C 38E-3A1 3A3-3E1 3F0-3FF 1F00-1F15 1F18-1F1D 1F20-1F45 1F48-1F4D 1F50-1F57 1F5F-1F7D 1F80-1FB4 1FB6-1FBC 1FC2-1FC4 1FC6-1FCC 1FD0-1FD3 1FD6-1FDB 1FE0-1FEC 1FF2-1FF4 1FF6-1FFC",
-    "cyrillic": "400-484 487-52F 1C80-1C88 2DE0-2DFF A640-A69F", "armenian": "531-556 559-58A", "hebrew": "591-5C7 5D0-5EA 5EF-5F4 FB1D-FB36 FB38-FB3C FB46-FB4F",
-    "arabic": "610-61A 620-63F 641-64A 656-66F 671-6DC 6DE-6FF 750-77F 8A0-8E1 8E3-8FF FB50-FBB1 FBD3-FD3D FD50-FD8F FE70-FE74 FE76-FEFC", "syriac": "710-74A 74D-74F", "thaana": "780-7B1",
+    "latin": "41-5A 61-7A AA BA C0-D6 D8-F6 F8-2B8 2E0-2E4 1D00-1D25 1D6B-1D77 1D79-1D9A 1E00-1EFF 2C60-2C7F A722-A787 A78B-A7DD A7F2-A7FF AB30-AB5A AB60-AB64 AB66-AB68 212A-212B 2132 214E 2183-2184 FB00-FB06 FF21-FF3A FF41-FF5A",
+    "greek": "370-373 376-377 37B-37D 37F 386 388-38A 38C 38E-3A1 3A3-3E1 3F0-3FF 1F00-1F15 1F18-1F1D 1F20-1F45 1F48-1F4D 1F50-1F57 1F59 1F5B 1F5D 1F5F-1F7D 1F80-1FB4 1FB6-1FBC 1FBE 1FC2-1FC4 1FC6-1FCC 1FD0-1FD3 1FD6-1FDB 1FE0-1FEC 1FF2-1FF4 1FF6-1FFC 1D26-1D2A 2126 AB65",
+    "cyrillic": "400-484 487-52F 1C80-1C8A 1D2B 2DE0-2DFF A640-A69F", "armenian": "531-556 559-58A", "hebrew": "591-5C7 5D0-5EA 5EF-5F4 FB1D-FB36 FB38-FB3C FB46-FB4F",
+    "arabic": "870-88E 610-61A 620-63F 641-64A 656-66F 671-6DC 6DE-6FF 750-77F 8A0-8E1 8E3-8FF FB50-FBB1 FBD3-FD3D FD50-FD8F FE70-FE74 FE76-FEFC", "syriac": "710-74A 74D-74F 860-86A", "thaana": "780-7B1",
     "devanagari": "900-950 955-963 966-97F A8E0-A8FF", "bengali": "980-983 985-9FE", "gurmukhi": "A01-A76", "gujarati": "A81-AFF", "oriya": "B01-B77", "tamil": "B82-BFA", "telugu": "C00-C7F", "kannada": "C80-CF3", "malayalam": "D00-D7F", "sinhala": "D81-DF4",
-    "thai": "E01-E3A E40-E5B", "lao": "E81-EDF", "tibetan": "F00-FD4", "myanmar": "1000-109F A9E0-A9FE AA60-AA7F", "georgian": "10A0-10C5 10C7 10CD 10D0-10FA 10FC-10FF 1C90-1CBA 1CBD-1CBF 2D00-2D25", "hangul": "1100-11FF 3131-318E A960-A97C AC00-D7A3 D7B0-D7FB FFA0-FFDC",
-    "ethiopic": "1200-139F 2D80-2DDE AB01-AB2E", "cherokee": "13A0-13F5 13F8-13FD AB70-ABBF", "canadian": "1400-167F", "khmer": "1780-17DD 17E0-17E9", "mongolian": "1810-1819 1820-18AA",
+    "thai": "E01-E3A E40-E5B", "lao": "E81-EDF", "tibetan": "F00-FD4", "myanmar": "1000-109F A9E0-A9FE AA60-AA7F", "georgian": "10A0-10C5 10C7 10CD 10D0-10FA 10FC-10FF 1C90-1CBA 1CBD-1CBF 2D00-2D25 2D27 2D2D", "hangul": "1100-11FF 3131-318E A960-A97C AC00-D7A3 D7B0-D7FB FFA0-FFDC",
+    "ethiopic": "1200-139F 2D80-2DDE AB01-AB2E", "cherokee": "13A0-13F5 13F8-13FD AB70-ABBF", "canadian": "1400-167F 18B0-18F5", "khmer": "1780-17DD 17E0-17E9", "mongolian": "1810-1819 1820-18AA",
     "kana": "3041-3096 309D-309F 30A1-30FA 30FD-30FF 31F0-31FF FF66-FF6F FF71-FF9D", "bopomofo": "3105-312F 31A0-31BF", "yi": "A000-A48C A490-A4C6", "han": "2E80-2E99 2E9B-2EF3 2F00-2FD5 3005 3007 3021-3029 3038-303B 3400-4DBF 4E00-9FFF F900-FA6D FA70-FAD9 20000-323AF",
 }
 SCRIPTS = ("none", *_RANGES)
