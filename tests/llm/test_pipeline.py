@@ -72,12 +72,29 @@ def test_bins(spark, small, stages):
 
 
 def test_odd_rows(spark, odd_docs, no_docs, labels, bench_items, tmp_path):
+    """What stays of odd rows after each stage: null, blank and long texts, repeated rows, null ids."""
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     bench_items.write.parquet(str(tmp_path / "benchmark.parquet"))
-    for docs in (odd_docs, no_docs):
-        for name, stage in cp.STAGES:
-            out = stage(spark, docs, str(tmp_path))
-            if name != "packing":
-                assert out.columns == docs.columns
-            docs = out
-        docs.collect()
+    blank = [(3, None), (4, ""), (5, "  \n\t ")]
+    kept = {
+        "toxicity": lambda i, t: True,  # four labels tell nothing, so no document has more than the base rate
+        "line_dedup": lambda i, t: i != 2,  # its only line stands in document 1, whose two rows count as one
+        "near_dedup": lambda i, t: True,
+        "decontamination": lambda i, t: i != 1,
+    }
+    rows = [(r.doc_id, r.text) for r in odd_docs.select("doc_id", "text").collect()]
+    docs, show = odd_docs, lambda table: sorted(map(str, table))
+    for name, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == odd_docs.columns
+        rows = [(i, t) for i, t in rows if kept[name](i, t)]
+        if name == "line_dedup":
+            rows = [(i, "line one is long enough\nother line of text" if i == 9 else t) for i, t in rows]
+        if name == "near_dedup":
+            rows.remove(next(r for r in rows if r[0] == 1))  # one of its rows
+        assert show((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()) == show(rows), name
+    assert set(blank) <= set(rows) and sum(i is None for i, _ in rows) == 2
+    bins = cp.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    check(docs, bins, packing.CAPACITY)
+    for _, stage in cp.STAGES:
+        assert stage(spark, no_docs, str(tmp_path)).count() == 0
