@@ -54,6 +54,7 @@ def decision(report: DataFrame) -> DataFrame:
     return out.withColumn("decision", ready)
 
 
+_BLOCKED = "all crawlers are disallowed"
 #: Requirement, check, what its statuses amount to (any other, and a check that wasn't made, is Unknown), what to do.
 _CHECKS = (
     ("ADS-CRAWL-02", "robots.txt", {"OK": "Pass", "MISSING": "Pass", "FAIL": "Fail"}, "let the crawlers in"),
@@ -94,6 +95,8 @@ def computed_findings(
         for id_, check, means, action in _CHECKS:
             rows = technical.where(F.col("check") == check)
             verdict = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in means.items() for x in kv]), F.col("status")), F.lit("Unknown"))
+            # a rule for the ads crawler overwrites the status of a rule for all, which counts nevertheless
+            verdict = F.when((F.col("status") == "WARNING") & F.array_contains("issues", _BLOCKED), "Fail").otherwise(verdict)
             add(rows, id_, verdict, F.concat(F.lit(f"{check}: "), F.col("status")), action)
     if completeness is not None:
         named = F.concat("check", F.lit(": "), F.col("status"), F.when(F.size("issues") > 0, F.concat(F.lit("; "), F.array_join("issues", "; "))).otherwise(""))

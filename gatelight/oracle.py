@@ -258,7 +258,7 @@ def _findings(fetch: str) -> str:
         rows("tr", "ADS-AUTHOR-03", "CASE WHEN profile THEN 'Pass' WHEN NOT profile THEN 'Fail' ELSE 'Unknown' END", "CASE WHEN profile THEN 'the about page links to a profile' WHEN NOT profile THEN 'the about page links to no profile' ELSE 'about page not fetched' END", "link to a profile"),
     ]
     for id_, check, means, action in policy._CHECKS:
-        verdict = "CASE status " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in means.items()) + " ELSE 'Unknown' END"
+        verdict = f"CASE WHEN status = 'WARNING' AND list_contains(issues, {_q(policy._BLOCKED)}) THEN 'Fail' " + " ".join(f"WHEN status = {_q(k)} THEN {_q(v)}" for k, v in means.items()) + " ELSE 'Unknown' END"
         parts.append(rows(f'(SELECT * FROM checks WHERE "check" = {_q(check)})', id_, verdict, f"{_q(check + ': ')} || status", action))
     good = "error IS NULL AND coalesce(status, 599) < 400"
     line = r"^\s*{0}\s*,\s*[^,\s]+\s*,\s*direct\b"
