@@ -89,8 +89,9 @@ def repeated(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS, b
     return hot, lost
 
 
-def _remover(spark: SparkSession, hot: DataFrame):
-    """A function of (text, id, gone): the text without the lines at ``gone`` and without hot ones that stand elsewhere first."""
+def _remover(spark: SparkSession, hot: DataFrame, touched=None, segments: int = 0):
+    """A function of (text, id, gone, hash of id): the text without the lines at ``gone`` and without hot ones that stand
+    elsewhere first, how many went, and whether the filter ``touched`` may hold the id."""
     table = hot.select("line", F.col("first.id").alias("id"), F.col("first.pos").alias("pos")).toArrow().combine_chunks()
     shared = spark.sparkContext.broadcast((table.column("line").combine_chunks(), table.column("id").combine_chunks(), table.column("pos").combine_chunks()))
 
@@ -127,16 +128,18 @@ def _remover(spark: SparkSession, hot: DataFrame):
         left = pc.binary_join(pa.ListArray.from_arrays(pa.array(offs, pa.int32()), flat.filter(pa.array(stay))), pa.scalar("\n", text.type))
         return pc.replace_with_mask(text, pa.array(lost > 0), left), lost
 
-    @F.arrow_udf("struct<text: string, n: int>")
-    def remove(text: pa.Array, ids: pa.Array, gone: pa.Array) -> pa.Array:
+    @F.arrow_udf("struct<text: string, n: int, more: boolean>")
+    def remove(text: pa.Array, ids: pa.Array, gone: pa.Array, h: pa.Array) -> pa.Array:
         texts, counts = [], []
         for lo, hi in pieces(buffers(text)[1]):
             new, lost = piece(text.slice(lo, hi - lo), ids.slice(lo, hi - lo), gone.slice(lo, hi - lo))
             texts.append(new)
             counts.append(lost)
-        return pa.StructArray.from_arrays([pa.concat_arrays(texts) if texts else text, pa.array(np.concatenate(counts) if counts else [], pa.int32())], ["text", "n"])
+        more = bloom.probe(touched.value, segments, h.to_numpy(zero_copy_only=False)) if touched else np.zeros(len(h), bool)
+        return pa.StructArray.from_arrays([pa.concat_arrays(texts) if texts else text, pa.array(np.concatenate(counts) if counts else [], pa.int32()), pa.array(more)], ["text", "n", "more"])
 
-    return remove
+    # evaluated once a row: else the filters on what it returns would run it again
+    return remove.asNondeterministic()
 
 
 def _without(spark: SparkSession, docs: DataFrame, min_chars: int, broadcast_bytes: int, hot_lines: int, names: list[str]) -> DataFrame:
@@ -144,21 +147,20 @@ def _without(spark: SparkSession, docs: DataFrame, min_chars: int, broadcast_byt
     new, key, gone = names
     hot, lost = repeated(spark, docs, min_chars, broadcast_bytes, hot_lines)
     lost = materialize(lost.select(F.col("id").alias(key), F.col("gone").alias(gone)))
-    remove = _remover(spark, hot)
     text, own = field("text").cast("string"), field("doc_id")
     n = lost.count()
     segments = bloom.segments_for(n)
     filters = bloom.members(lost.select(F.xxhash64(key)), segments)
     if bloom.size(filters) > broadcast_bytes:
         both = docs.join(lost, own.eqNullSafe(F.col(key)), "left")
-        return both.withColumn(new, remove(text, own, F.col(gone))).drop(key, gone)
-    touched = bloom.maybe(spark, filters, segments)(F.xxhash64(own))
-    none = F.lit(None).cast("array<int>")
-    aside = docs.where(~touched).withColumn(new, remove(text, own, none))
+        return both.withColumn(new, _remover(spark, hot)(text, own, F.col(gone), F.xxhash64(own))).drop(key, gone)
+    # one pass settles the documents that the filter doesn't hold; the others are read again, and meet their removals
+    aside = docs.withColumn(new, _remover(spark, hot, bloom.shared(spark, filters), segments)(text, own, F.lit(None).cast("array<int>"), F.xxhash64(own)))
+    aside = aside.where(~F.col(new)["more"])
     if n == 0:
         return aside
-    both = docs.where(touched).join(lost, own.eqNullSafe(F.col(key)), "left")
-    return aside.unionByName(both.withColumn(new, remove(text, own, F.col(gone))).drop(key, gone))
+    both = docs.where(bloom.maybe(spark, filters, segments)(F.xxhash64(own))).join(lost, own.eqNullSafe(F.col(key)), "left")
+    return aside.unionByName(both.withColumn(new, _remover(spark, hot)(text, own, F.col(gone), F.xxhash64(own))).drop(key, gone))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES, hot_lines: int = HOT_LINES) -> DataFrame:

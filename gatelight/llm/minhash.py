@@ -227,7 +227,8 @@ def _grouped(spark: SparkSession, docs: DataFrame, least: float, n: int, groups:
     reps = materialize(alone.select("id", "bands").unionByName(several))
     member = _members(spark, reps, kind, groups, broadcast_bytes)
     active = materialize(member.select("id").distinct())
-    _, some = held(spark, text, F.col("id"), active, broadcast_bytes)
+    # written between the two, so that no task has two Python processes at a time
+    some = materialize(held(spark, text, F.col("id"), active, broadcast_bytes)[1])
     sets = some.mapInArrow(lambda it: _sets(it, n), f"id {kind}, s array<int>")
     sets = materialize(sets if again is None else sets.dropDuplicates(["id"]))
     size = sets.select("id", F.size("s").alias("n"))

@@ -3,7 +3,7 @@
 import corpus_pipeline as cp
 import pytest
 
-from gatelight.llm import linededup, packing, suffix, toxicity
+from gatelight.llm import linededup, minhash, packing, suffix, toxicity
 from gatelight.llm.tables import read
 
 from .test_linededup import brute as brute_lines
@@ -48,9 +48,11 @@ def test_near(stages):
     before, after = stages[2]
     sets = {r.doc_id: shingle_set(r.text) for r in before.select("doc_id", "text").collect()}
     kept = {r.doc_id for r in after.select("doc_id").collect()}
-    alike = [(a, b) for a in sets for b in sets if a < b and sets[a] and jaccard(sets[a], sets[b]) >= 0.6]
-    assert kept <= set(sets) and sum(a in kept and b in kept for a, b in alike) <= 0.05 * len(alike)
-    touched = {i for e in alike for i in e}
+    alike = [(a, b, j) for a in sets for b in sets if a < b and sets[a] and (j := jaccard(sets[a], sets[b])) >= minhash.LEAST]
+    missed = [j for a, b, j in alike if a in kept and b in kept]
+    # tables are made to find nine in ten at the threshold, and nearly all from 0.6 on
+    assert kept <= set(sets) and len(missed) <= 0.1 * len(alike) and sum(j >= 0.6 for j in missed) <= 0.05 * sum(j >= 0.6 for _, _, j in alike)
+    touched = {i for a, b, _ in alike for i in (a, b)}
     assert set(sets) - kept <= touched  # none goes without a near-duplicate
 
 
