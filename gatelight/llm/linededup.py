@@ -159,7 +159,9 @@ def _without(spark: SparkSession, docs: DataFrame, min_chars: int, broadcast_byt
     aside = aside.where(~F.col(new)["more"])
     if n == 0:
         return aside
-    both = docs.where(bloom.maybe(spark, filters, segments)(F.xxhash64(own))).join(lost, own.eqNullSafe(F.col(key)), "left")
+    # written, so that no task has two Python processes at a time
+    some = materialize(docs.where(bloom.maybe(spark, filters, segments)(F.xxhash64(own))))
+    both = some.join(lost, own.eqNullSafe(F.col(key)), "left")
     return aside.unionByName(both.withColumn(new, _remover(spark, hot)(text, own, F.col(gone), F.xxhash64(own))).drop(key, gone))
 
 
