@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .scratch import materialize
-from .tables import field, free, with_text
+from .tables import field, free, modest, with_text
 from .words import buffers, pieces
 
 MIN_CHARS = 10
@@ -144,6 +144,7 @@ def _remover(spark: SparkSession, hot: DataFrame, touched=None, segments: int =
 
 def _without(spark: SparkSession, docs: DataFrame, min_chars: int, broadcast_bytes: int, hot_lines: int, names: list[str]) -> DataFrame:
     """docs with a struct column of the text that stays and the number of lines that went."""
+    modest(spark)
     new, key, gone = names
     hot, lost = repeated(spark, docs, min_chars, broadcast_bytes, hot_lines)
     lost = materialize(lost.select(F.col("id").alias(key), F.col("gone").alias(gone)))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .scratch import materialize
-from .tables import field, free
+from .tables import field, free, modest
 from .words import SPACE_CLASS, Words, buffers, mix, ngrams, pieces
 
 LEAST = 0.5
@@ -217,6 +217,7 @@ def _compare(table: pa.Table, least: float) -> pa.Table:
 
 def _grouped(spark: SparkSession, docs: DataFrame, least: float, n: int, groups: int, band: int, block: int, broadcast_bytes: int) -> tuple[DataFrame, DataFrame | None]:
     """id, group for every document that has a near-duplicate, and the doc_ids of several rows, as ``documents`` gives them."""
+    modest(spark)
     text, again = documents(docs)
     kind = text.schema["id"].dataType.simpleString()
     signed = materialize(text.mapInArrow(lambda it: _signed(it, n, groups, band), f"id {kind}, k1 long, k2 long, bands array<bigint>"))

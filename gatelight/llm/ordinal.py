@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .linear import ROWS, Sparse, collected, sample
-from .tables import field
+from .tables import field, modest
 from .words import Words, buffers, hash_spans, pieces
 
 BITS = 18
@@ -125,6 +125,7 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Ordinal:
+    modest(spark)
     table = sample(docs, graded(labels), [F.col("grade")], ["grade"], rows, features)
     f, y = collected(table, ["grade"])
     return fit_rows(np.repeat(np.arange(len(f), dtype=np.int32), [len(x) for x in f]), np.concatenate(f) if f else np.zeros(0, np.int32), y["grade"])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import materialize
-from .tables import field
+from .tables import field, modest
 from .tokens import byte_bpe
 from .words import buffers
 
@@ -99,6 +99,7 @@ def _again(key: tuple, table: pa.Table, capacity: int) -> pa.Table:
 
 def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, full: float = FULL, fan: int = FAN, path: str | None = None) -> DataFrame:
     """bin_id, used, and in bin order doc_ids, starts and lengths in tokens of what each bin holds."""
+    modest(spark)
     schema = _SIDE.format(docs.schema["doc_id"].dataType.simpleString())
     own = docs.select(field("doc_id").alias("doc_id"), field("text").cast("string").alias("text"))
     bins = materialize(own.mapInArrow(lambda it: _local(it, capacity, path), schema))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import field, free
+from .tables import field, free, modest
 from .words import Words, buffers, pieces
 
 MIN_WORDS = 8
@@ -194,6 +194,7 @@ def _passes(benchmark: DataFrame) -> Iterator[list]:
 
 def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, least_item: int = LEAST_ITEM) -> DataFrame:
     """doc_id, item_id, match_words, doc_pos, item_pos: the longest match of each document and item."""
+    modest(spark)
     doc_kind, item_kind = docs.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType
     own = docs.select(field("doc_id").alias("doc_id"), field("text").cast("string").alias("text"))
     schema = f"doc_id {doc_kind.simpleString()}, item_no int, match_words int, doc_pos int, item_pos int"
@@ -226,6 +227,7 @@ def _leaks(shared):
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, least_item: int = LEAST_ITEM) -> DataFrame:
     """The documents without those that hold a match; all columns as they were."""
+    modest(spark)
     (hit,) = free(docs, "hit")
     for rows in _passes(benchmark):
         leaks = _leaks(spark.sparkContext.broadcast(prepare(rows, min_words, least_item)))

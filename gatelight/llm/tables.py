@@ -10,6 +10,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch, where the session doesn't say.
+BATCH_BYTES = 8 << 20
+
+
+def modest(spark: SparkSession) -> None:
+    """Bound the Arrow batches by ``BATCH_BYTES``, unless the session states a bound of its own.
+
+    Texts are of any length, so a number of rows bounds nothing, and Spark's own 64 MB are held about four times
+    over in each task. Results don't depend on it. The setting stays, as plans are made after an operator returns.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def field(name: str) -> Column:
     """A column by its exact name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .linear import BITS, ROWS, Sparse, collected, informative, logistic, presence, sample, spread
-from .tables import field, free
+from .tables import field, free, modest
 from .words import buffers, pieces
 
 #: In the chain's order; the last decides.
@@ -66,6 +66,7 @@ class Chain:
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] | None = None, rows: int = ROWS) -> Chain:
+    modest(spark)
     categories = categories or CATEGORIES
     target = categories[-1]
     place = {c.lower(): i for i, c in reversed(list(enumerate(labels.columns)))}
