@@ -13,7 +13,7 @@ A block of up to ``BLOCK`` ids is coded by one number in [0, 1) that a range cod
 
 Contexts take effect with each id, the mixture's counts and weights every ``_STEP`` ids, order-0 counts every 256
 (sooner at the beginning), so many blocks can be coded, and decoded, in lockstep. Only sums, products and
-quotients in a fixed order are taken, of integers or IEEE singles, so every machine gives the same.
+quotients in a fixed order are taken, of integers, IEEE singles or doubles, so every machine gives the same.
 
 Every block begins with an empty model and carries the CRC-32 of its ids (little-endian 16 bit); a
 decoder checks it. A lost or damaged block harms no other. Carries of the range coder are resolved
@@ -64,6 +64,7 @@ _START, _BOTH = np.float32(0.4), np.float32(2)
 _RUN = np.array([0, 1, 2, 3, 4, 4, 4, 4, 5], np.int32)
 _HITS = np.array([0, 1, 2, 3, 4, 4, 4, 4, *[5] * 8, *[6] * 16, 7], np.int32)
 _RUNS, _HIT = _RUN.tolist(), _HITS.tolist()
+_STATE = 2 * _RUN - 1
 
 
 def segments(n: int) -> list[int]:
@@ -75,84 +76,107 @@ def segments(n: int) -> list[int]:
     return [*out, n]
 
 
+#: The places in a block; between which two updates of order 0 each lies, and where that stretch begins.
+_AT = np.arange(1 << 14, dtype=np.int32)
+_STRETCH = np.searchsorted(segments(1 << 14), _AT, "right")
+_BEGIN = np.array([0, *segments(1 << 14)], np.int32)[_STRETCH]
+
+
 def _history(ids: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The last id that followed each id's context, the last other one before it (-1: none), and a state."""
     n = len(ids)
-    t = np.arange(n, dtype=np.int32)
+    t = _AT[:n]
     ranked = np.sort((key << 14) | t)
-    order = (ranked & 0x3FFF).astype(np.int32)
-    x = ids[order]
-    fresh = np.ones(n, bool)
-    np.greater(ranked[1:] - (ranked[1:] & 0x3FFF), ranked[:-1], out=fresh[1:])
-    turn = fresh.copy()
-    turn[1:] |= x[1:] != x[:-1]
-    run = np.maximum.accumulate(np.where(turn, t, 0))
-    begin = np.maximum.accumulate(np.where(fresh, t, 0))
-    run[1:], run[0] = run[:-1], 0  # that of the one before
-    known = ~fresh
-    other = known & (run > begin)
+    order = ranked & 0x3FFF
+    x = ids.take(order)
+    ranked >>= 14
+    known = np.zeros(n, bool)
+    np.equal(ranked[1:], ranked[:-1], out=known[1:])
+    same = known.copy()
+    same[1:] &= x[1:] == x[:-1]
+    # where the run of the one before begins, and where the context does
+    run = np.maximum.accumulate(np.where(same, 0, t))
+    begin = np.maximum.accumulate(np.where(known, 0, t))
+    run[1:], run[:1] = run[:-1].copy(), 0
+    other = run > begin
+    other &= known
     out = np.empty((3, n), np.int32)
-    a = np.where(known, np.concatenate([x[:1], x[:-1]]), -1)
-    b = np.where(other, x[np.maximum(run - 1, 0)], -1)
-    state = np.where(known, 2 * _RUN[np.minimum(t - run, 8)] - 1 + other, 0)
-    out[0, order], out[1, order], out[2, order] = a, b, state
+    last = np.full(n, -1, np.int32)
+    np.copyto(last[1:], x[:-1], where=known[1:])
+    out[0, order] = last
+    out[1, order] = np.where(other, x.take(run - 1, mode="wrap"), -1)
+    state = _STATE.take(np.minimum(t - run, 8))
+    state += other
+    state *= known
+    out[2, order] = state
     return out[0], out[1], out[2]
 
 
 def prepared(ids: np.ndarray) -> tuple[np.ndarray, ...]:
-    """What a block's coding needs of each id: both contexts and the class, as one number each; whether order 1's
-    predictions count; which prediction holds (4: none); and, where none does, begin, share and total of order 0."""
+    """What a block's coding needs of each id: both contexts and the class, as one number each; which of the four
+    predictions count; which holds (4: none); and, where none does, begin, share and total of order 0."""
     ids = ids.astype(np.int32)
     n = len(ids)
     if n > 1 << 14:
         raise ValueError(f"a block holds at most {1 << 14} ids")
-    one = np.concatenate([[EOD], ids[:-1]]).astype(np.int64)
-    two = np.concatenate([[EOD, EOD], ids[:-2]])[:n].astype(np.int64)
-    a2, b2, s2 = _history(ids, (one << 16) | two)
+    one, two = np.full(n, EOD, np.int32), np.full(n, EOD, np.int64)
+    one[1:], two[2:] = ids[:-1], ids[:-2]
+    a2, b2, s2 = _history(ids, (two << 16) | one)
     a1, b1, s1 = _history(ids, one)
-    there1, there2 = (a1 >= 0) & (a1 != a2) & (a1 != b2), (b1 >= 0) & (b1 != a2) & (b1 != b2)
+    there = np.empty((_NONE, n), bool)
+    np.greater_equal(a2, 0, out=there[0])
+    np.greater_equal(b2, 0, out=there[1])
+    for c, ok in ((a1, there[2]), (b1, there[3])):
+        np.greater_equal(c, 0, out=ok)
+        ok &= c != a2
+        ok &= c != b2
     right = a2 == ids
     kind = np.full(n, _NONE, np.int8)
-    for k, hit in ((3, there2 & (b1 == ids)), (2, there1 & (a1 == ids)), (1, b2 == ids), (0, right)):
+    for k, hit in ((3, there[3] & (b1 == ids)), (2, there[2] & (a1 == ids)), (1, b2 == ids), (0, right)):
         kind[hit] = k
-    t = np.arange(n, dtype=np.int32)
+    t = _AT[:n]
     miss = np.maximum.accumulate(np.where(right, -1, t))
     hits = np.zeros(n, np.int32)
     hits[1:] = t[1:] - 1 - miss[:-1]
-    h = _HITS[np.minimum(hits, 32)]
-    agree = np.where(a2 < 0, 0, np.where(a1 == a2, 1, 2)).astype(np.int32)
+    h = _HITS.take(np.minimum(hits, 32))
+    agree = (a1 != a2) + np.int8(1)
+    agree *= there[0]
     own = np.stack([(h * 11 + s2) * 3 + agree, (np.minimum(h, 3) * 11 + s1) * 3 + agree, h]).astype(np.int16)
+    # order 0, only of the ids that no prediction gives; a row of counts for each stretch between two updates
     tail = np.zeros((3, n), np.uint32)
-    known = np.flatnonzero(np.bincount(ids, minlength=VOCAB))
-    rank = np.full(VOCAB + 1, len(known), np.int32)
-    rank[known] = np.arange(len(known))
-    mine = rank[ids]
-    vain = [rank[np.where(ok, c, VOCAB)] for c, ok in ((a2, a2 >= 0), (b2, b2 >= 0), (a1, there1), (b1, there2))]
-    count = np.append(_PRIOR[known], 0).astype(np.int32)  # the last is for no prediction
-    gained, upto = np.zeros(len(known), np.int32), np.zeros(len(known) + 1, np.int32)
-    none = np.flatnonzero(kind == _NONE).astype(np.int32)
-    below = _BELOW[ids[none]].astype(np.int32)
-    ends = segments(n)
-    cut = np.searchsorted(none, [0, *ends])
-    begin = 0
-    for end, lo, hi in zip(ends, cut, cut[1:]):
-        at = none[lo:hi]
-        r = mine[at]
-        low = below[lo:hi] + upto[r]
-        total = np.full(hi - lo, _BELOWS[-1] + _TIMES * begin, np.int32)
-        for v in vain:
-            g = v[at]
-            c = count[g]
-            total -= c
-            low -= c * (g < r)
-        tail[0, at], tail[1, at], tail[2, at] = low, count[r], total
-        more = np.bincount(mine[begin:end], minlength=len(known)).astype(np.int32)
-        more *= _TIMES
-        gained += more
-        count[:-1] += more
-        np.cumsum(gained, out=upto[1:])
-        begin = end
-    return own, there1, there2, kind, tail
+    none = np.flatnonzero(kind == _NONE)
+    held = np.zeros(VOCAB, bool)
+    held[ids] = True
+    known = np.flatnonzero(held)
+    m = len(known)
+    rank = np.full(VOCAB + 1, m, np.int32)  # the last is for no prediction, the count of which is 0
+    rank[known] = _AT[:m]
+    stretch = _STRETCH[:n]
+    rows = int(stretch[-1]) + 1 if n else 0
+    count = np.zeros((rows, m + 1), np.int32)
+    if rows:
+        count[0, :m] = _PRIOR[known]
+        upto = segments(n)[-2] if rows > 1 else 0
+        count[1:] = np.bincount(stretch[:upto] * (m + 1) + rank.take(ids[:upto]), minlength=(rows - 1) * (m + 1)).reshape(rows - 1, m + 1)
+        count[1:] *= _TIMES
+        for before, after in zip(count, count[1:]):
+            after += before
+    below = np.cumsum(count, axis=1, dtype=np.int32)
+    mine = rank.take(ids[none])
+    row = stretch[none] * (m + 1)
+    own_count = count.take(row + mine)
+    # the priors of ids that the block doesn't hold
+    lacking = (_BELOW[known] - (np.cumsum(_PRIOR[known]) - _PRIOR[known])).astype(np.int32)
+    low = lacking.take(mine) + below.take(row + mine) - own_count
+    total = (_BELOWS[-1] + _TIMES * _BEGIN[:n].take(none)).astype(np.int32)
+    for c, ok in zip((a2, b2, a1, b1), there):
+        g = rank.take(np.where(ok, c, VOCAB)[none])
+        gone = count.take(row + g)
+        total -= gone
+        gone *= g < mine
+        low -= gone
+    tail[0, none], tail[1, none], tail[2, none] = low, own_count, total
+    return own, there, kind, tail
 
 
 class _Mixer:
@@ -163,23 +187,31 @@ class _Mixer:
         self.tally = [np.full((_NONE + 1, lanes * size), _START, np.float32) for size in _SIZES]
         self.weight = np.full((2, lanes * _CLASSES), _BOTH, np.float32)
 
-    def masses(self, lane: np.ndarray, own: np.ndarray, there1: np.ndarray, there2: np.ndarray) -> tuple[list[np.ndarray], tuple]:
+    def masses(self, lane: np.ndarray, own: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, tuple]:
         """Parts of 2^26 for the four predictions, and what ``learn`` needs."""
         at = [lane * size + c for size, c in zip(_SIZES, own)]
         place = lane * _CLASSES + own[2]
-        wa, wb = self.weight[0, place], self.weight[1, place]
-        whole = wa + wb
+        weights = self.weight.take(place, axis=1)
+        whole = weights[0] + weights[1]
         given = []
-        for tally, where, w in zip(self.tally, at, (wa, wb)):
-            c = [tally[k, where] for k in range(_NONE + 1)]
-            scale = w / (((((c[0] + c[1]) + c[2]) + c[3]) + c[4]) * whole)
-            given.append([x * scale for x in c])
-        p = [a + b for a, b in zip(*given)]
-        state = own[0] // 3 % 11  # of order 2: none, and even where it has two predictions
-        there = (state > 0, (state > 0) & (state % 2 == 0), there1, there2)
-        q = [x * ok for x, ok in zip(p, there)]
-        scale = np.float32((1 << _T) - _REST - 64) / ((((q[0] + q[1]) + q[2]) + q[3]) + p[4])
-        mass = [(x * scale).astype(np.int64) + ok for x, ok in zip(q, there)]
+        for tally, where, w in zip(self.tally, at, weights):
+            c = tally.take(where, axis=1)
+            scale = c[0] + c[1]
+            for x in c[2:]:
+                scale += x
+            scale *= whole
+            np.divide(w, scale, out=scale)
+            c *= scale
+            given.append(c)
+        p = given[0] + given[1]
+        q = p[:_NONE] * there
+        scale = q[0] + q[1]
+        for x in (q[2], q[3], p[_NONE]):
+            scale += x
+        np.divide(np.float32((1 << _T) - _REST - 64), scale, out=scale)
+        q *= scale
+        mass = q.astype(np.int32)
+        mass += there
         return mass, (at, place, given[0], p)
 
     def learn(self, made: tuple, kind: np.ndarray) -> None:
@@ -187,9 +219,16 @@ class _Mixer:
         at, place, first, p = made
         for tally, where, size in zip(self.tally, at, _SIZES):
             np.add.at(tally.reshape(-1), (kind * (self.lanes * size) + where).ravel(), np.float32(1))
-        share = np.choose(kind, first) / np.choose(kind, p)
-        np.add.at(self.weight[0], place.ravel(), share.ravel())
-        np.add.at(self.weight[1], place.ravel(), (np.float32(1) - share).ravel())
+        came = _picked(kind)
+        share = first.take(came)
+        share /= p.take(came)
+        np.add.at(self.weight[0], place.ravel(), share)
+        np.add.at(self.weight[1], place.ravel(), np.float32(1) - share)
+
+
+def _picked(kind: np.ndarray) -> np.ndarray:
+    """Where in arrays of one more axis, in front, the items lie that kind picks along it."""
+    return kind.ravel() * kind.size + np.arange(kind.size)
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
@@ -200,64 +239,73 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     size = np.array([len(blocks[i]) for i in order])
     n, lanes = int(size.max(initial=0)), len(blocks)
     own, tail = np.zeros((3, lanes, n), np.int16), np.zeros((3, lanes, n), np.uint32)
-    there1, there2, kind = np.zeros((lanes, n), bool), np.zeros((lanes, n), bool), np.zeros((lanes, n), np.int8)
+    there, kind = np.zeros((_NONE, lanes, n), bool), np.zeros((lanes, n), np.int8)
     for lane, i in enumerate(order):
         if k := len(blocks[i]):
-            own[:, lane, :k], there1[lane, :k], there2[lane, :k], kind[lane, :k], tail[:, lane, :k] = prepared(blocks[i])
+            own[:, lane, :k], there[:, lane, :k], kind[lane, :k], tail[:, lane, :k] = prepared(blocks[i])
     mixer = _Mixer(lanes)
-    low, wide = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 56, np.uint64)
-    out = np.zeros((2 * n + 4) * lanes, np.uint32)
-    at = np.arange(lanes)  # where each lane's next word goes; its words are ``lanes`` apart
-    live = np.searchsorted(-size, -np.arange(n + 1), "left")
+    wide = np.full(lanes, 1 << 56, np.uint64)
+    live = np.searchsorted(-size, -np.arange(n), "left")
     own_bits, t32, t24, least = np.uint64(_T), np.uint64(32), np.uint64(24), np.uint64(1 << 32)
     step = np.arange(lanes)[:, None]
     for a in range(0, n, _STEP):
         b = min(a + _STEP, n)
         k = int(live[a])
         what = kind[:k, a:b].astype(np.int64)
-        mass, made = mixer.masses(step[:k], own[:, :k, a:b].astype(np.int64), there1[:k, a:b], there2[:k, a:b])
-        upto = [mass[0]]
-        for m in mass[1:]:
-            upto.append(upto[-1] + m)
-        rest = (1 << _T) - upto[-1]
-        x = tail[:, :k, a:b].astype(np.int64)
+        mass, made = mixer.masses(step[:k], own[:, :k, a:b].astype(np.int64), there[:, :k, a:b])
+        begin, share = (np.empty((_NONE + 1, k, b - a), np.int32) for _ in range(2))
+        begin[0], share[:_NONE] = 0, mass
+        for j in range(_NONE):
+            np.add(begin[j], mass[j], out=begin[j + 1])
+        # products of less than 2^47 are exact as doubles, and totals of less than 2^21 leave quotients far enough from
+        # the next integer, so this rounds down as integers do
+        rest = ((1 << _T) - begin[_NONE]).astype(np.float64)
+        x = tail[:, :k, a:b]
         total = np.maximum(x[2], 1)
-        first = x[0] * rest // total
-        last = (x[0] + x[1]) * rest // total
-        begin = np.choose(what, [np.zeros_like(rest), *upto[:-1], upto[-1] + first])
-        share = np.choose(what, [*mass, last - first])
-        begin, share = (np.ascontiguousarray(y.T).astype(np.uint64) for y in (begin, share))
-        for t in range(b - a):
-            k = int(live[a + t])
-            w, l = wide[:k], low[:k]
-            part = w >> own_bits
-            l += part * begin[t, :k]
-            np.multiply(part, share[t, :k], out=w)
-            small = w < least
-            while small.any():
-                # 24 bits of the lanes whose range has become small; others' words are overwritten later
-                out[at[:k]] = l >> t32
-                at[:k] += small * lanes
-                by = small * t24
-                l[:] = np.where(small, l & _LOW, l) << by
-                w <<= by
-                small = w < least
+        first = (x[0] * rest / total).astype(np.int32)
+        np.subtract(((x[0] + x[1]) * rest / total).astype(np.int32), first, out=share[_NONE])
+        begin[_NONE] += first
+        came = _picked(what).reshape(what.shape).T
+        begin, share = (y.take(came).astype(np.uint64) for y in (begin, share))
+        # the ranges, id by id; what is added to the code follows from them
+        part, small = np.empty((b - a, k), np.uint64), np.empty((2, b - a, k), bool)
+        w = wide[:k]
+        for p, m, once, twice in zip(part, share, *small):
+            np.right_shift(w, own_bits, out=p)
+            np.multiply(p, m, out=w)
+            for s in (once, twice):
+                np.less(w, least, out=s)
+                np.left_shift(w, t24, out=w, where=s)
+        part *= begin
+        # in place of what isn't needed any more: the number added, and by how many words the code moves on then
+        tail[0, :k, a:b], tail[1, :k, a:b] = (part >> t32).T, (part & _LOW).T
+        kind[:k, a:b] = (small[0].view(np.int8) + small[1].view(np.int8)).T
         # positions beyond a lane's end change only what it no longer uses
         mixer.learn(made, what)
     codes: list[bytes] = [b""] * lanes
     for lane, i in enumerate(order):
-        if not size[lane]:
-            continue
-        x = int(low[lane])
-        words = [*out[lane : at[lane] : lanes].tolist(), x >> 32, (x >> 8) & 0xFFFFFF, (x & 0xFF) << 16]
-        carry = 0
-        for p in range(len(words) - 1, -1, -1):
-            v = words[p] + carry
-            words[p], carry = v & 0xFFFFFF, v >> 24
-        codes[i] = np.array(words, ">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes()
+        if k := int(size[lane]):
+            codes[i] = _joined(tail[0, lane, :k], tail[1, lane, :k], kind[lane, :k])
     return codes
 
 
+def _joined(high: np.ndarray, low: np.ndarray, moves: np.ndarray) -> bytes:
+    """The sum of the numbers, each 24 bits lower for each move before it, in words of 24 bits."""
+    at = np.cumsum(moves, dtype=np.int64)
+    first = np.append(0, np.flatnonzero(moves[:-1]) + 1)  # of the numbers in the same place
+    x = np.add.reduceat(high, first, dtype=np.uint64) << np.uint64(32)
+    x += np.add.reduceat(low, first, dtype=np.uint64)
+    words = np.zeros(at[-1] + 3, np.uint64)
+    place = at[first] - moves[first]
+    words[place] += x >> np.uint64(32)
+    words[place + 1] += (x >> np.uint64(8)) & np.uint64(0xFFFFFF)
+    words[place + 2] += (x & np.uint64(0xFF)) << np.uint64(16)
+    while (carry := words[1:] >> np.uint64(24)).any():
+        words[1:] &= np.uint64(0xFFFFFF)
+        words[:-1] += carry
+    return words.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes()
+
+
 class _Model:
     """What a decoder knows of one block: its contexts and order-0 counts so far."""
 
@@ -267,8 +315,8 @@ class _Model:
         self.seen: list[int] = []  # the counted ids in order
         self.upto, self.hits = 64, 0
 
-    def look(self) -> tuple[int, int, int, bool, bool]:
-        """The two contexts and the class, and whether order 1's predictions count."""
+    def look(self) -> tuple[int, int, int, bool, bool, bool, bool]:
+        """The two contexts and the class, and which predictions count."""
         one = self.ids[-1] if self.ids else EOD
         two = self.ids[-2] if len(self.ids) > 1 else EOD
         self.key = ((two, one), one)
@@ -278,7 +326,7 @@ class _Model:
         s2, s1 = (2 * _RUNS[min(r, 8)] - 1 + (b >= 0) if r else 0 for r, b in ((run2, b2), (run1, b1)))
         h, agree = _HIT[min(self.hits, 32)], 0 if a2 < 0 else 1 if a1 == a2 else 2
         self.there = (a2 >= 0, b2 >= 0, a1 >= 0 and a1 not in (a2, b2), b1 >= 0 and b1 not in (a2, b2))
-        return (h * 11 + s2) * 3 + agree, (min(h, 3) * 11 + s1) * 3 + agree, h, *self.there[2:]
+        return (h * 11 + s2) * 3 + agree, (min(h, 3) * 11 + s1) * 3 + agree, h, *self.there
 
     def _upto(self, x: int) -> int:
         return _BELOWS[x] + _TIMES * bisect_left(self.seen, x)
@@ -330,7 +378,7 @@ def decode_all(codes: list[bytes], sizes: list[int], crcs: list[int] | None = No
     for t in range(n):
         k = live[t]
         seen = np.array([m.look() for m in models[:k]], np.int64).T
-        mass, made = mixer.masses(np.arange(k), seen[:3], seen[3] > 0, seen[4] > 0)
+        mass, made = mixer.masses(np.arange(k), seen[:3], seen[3:] > 0)
         kinds = []
         for i, own in enumerate(zip(*(m.tolist() for m in mass))):
             m, part = models[i], wide[i] >> _T
