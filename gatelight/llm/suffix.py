@@ -4,7 +4,9 @@ Each Arrow batch of documents is one shard: its words, hashed to 64 bits, become
 bits, and the shard's suffixes are sorted over it, four letters a step, as deep as the longest test
 item goes. Every suffix of every test item is then binary-searched in every shard. An interval of
 the array holds all places where a prefix of that suffix stands; each place is confirmed and extended
-on the full word hashes, which gives the longest verbatim match and where it lies.
+on the full word hashes, which gives the longest verbatim match and where it lies. Items that begin alike
+match at the same places, so places are held by ``PLACES``, not all at once; where only documents are asked for, one
+suffix stands for all that begin with the same needed words.
 
 Words are runs of characters other than ASCII white space, compared as they are written.
 
@@ -27,12 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import field, free, modest
-from .words import Words, buffers, pieces
+from .words import Words, buffers, ngrams, pieces
 
 MIN_WORDS = 8
 LEAST_ITEM = 5
 #: Bytes of test text that one pass over the documents carries; more test text takes more passes.
 PASS_BYTES = 32 << 20
+#: Places that are extended at a time; those of one suffix in one shard stay together.
+PLACES = 1 << 20
 
 _SIXTEEN = np.uint64(16)
 
@@ -69,6 +73,26 @@ def prepare(rows: list[tuple[object, str | None]], min_words: int = MIN_WORDS, l
     return Tests(*(np.array(x, np.int64) for x in (item, pos, at, need)), np.concatenate(parts) if parts else np.zeros(0, np.uint64), int(w.count.max(initial=0)), ids)
 
 
+def distinct(tests: Tests) -> Tests:
+    """One suffix of those that begin with the same needed words: as good for whether a text has a match, not for which.
+
+    A place that ``search`` leaves to the suffix one word longer matches that one, so some place of the text stays.
+    """
+    gram = np.zeros(len(tests.at), np.uint64)
+    for n in np.unique(tests.need).tolist():
+        own = tests.need == n
+        gram[own] = ngrams(tests.words, n)[tests.at[own]]
+    _, rep, inv = np.unique(gram, return_index=True, return_inverse=True)
+    rep = rep[inv]
+    same = tests.need == tests.need[rep]  # by the words themselves, so that no two hashes alike lose a suffix
+    depth = int(tests.need.max(initial=0))
+    for k in range(depth):
+        deep = np.flatnonzero(same & (tests.need > k))
+        same[deep] = tests.words[tests.at[deep] + k] == tests.words[tests.at[rep[deep]] + k]
+    stay = ~same | (rep == np.arange(len(rep)))
+    return Tests(tests.item[stay], tests.pos[stay], tests.at[stay], tests.need[stay], tests.words, depth, tests.ids)
+
+
 def _packed(words: np.ndarray) -> np.ndarray:
     """Letter i to i + 3 of 16 bits each in one number; a word's letter is never 0, that of an end is."""
     letter = np.where(words == 0, np.uint64(0), np.uint64(1) + (words >> np.uint64(17)) % np.uint64(65535))
@@ -119,16 +143,29 @@ def _bounds(q: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return q & ~low, q | low
 
 
-def search(words: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Left-maximal matches in a shard of zero-ended documents: suffix number, position, length."""
-    none = (np.zeros(0, np.int64),) * 3
+def _extended(q: np.ndarray, p: np.ndarray, words: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places where suffix q stands at p on full hashes, as far as it needs, and for how many words."""
+    size = np.zeros(len(q), np.int64)
+    live = np.arange(len(q))
+    for k in range(tests.depth):
+        a, b = tests.words[tests.at[q[live]] + k], words[np.minimum(p[live] + k, len(words) - 1)]
+        live = live[(a == b) & (a != 0)]
+        if not len(live):
+            break
+        size[live] += 1
+    good = size >= tests.need[q]
+    return q[good], p[good], size[good]
+
+
+def search(words: np.ndarray, tests: Tests) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Left-maximal matches in a shard of zero-ended documents, some at a time: suffix number, position, length."""
     if not len(words) or not len(tests.at):
-        return none
+        return
     key, test_key = _packed(words), _packed(tests.words)
     sa, first = suffix_array(key, tests.depth)
     lo_key, hi_key = _bounds(test_key[tests.at], tests.need)
     lo, hi = np.searchsorted(first, lo_key, "left"), np.searchsorted(first, hi_key, "right")
-    found_q, found_p = [], []
+    found_q, found_p, held = [], [], 0
     for q in np.flatnonzero(hi > lo):
         a, b, done = int(lo[q]), int(hi[q]), 4
         while done < tests.need[q] and b > a:
@@ -142,24 +179,24 @@ def search(words: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.
             p = p[(p == 0) | (words[p - 1] != before) | (before == 0)]
             found_q.append(np.full(len(p), q))
             found_p.append(p)
-    if not found_q:
-        return none
-    q, p = np.concatenate(found_q), np.concatenate(found_p)
-    size = np.zeros(len(q), np.int64)
-    live = np.arange(len(q))
-    for k in range(tests.depth):
-        a, b = tests.words[tests.at[q[live]] + k], words[np.minimum(p[live] + k, len(words) - 1)]
-        live = live[(a == b) & (a != 0)]
-        if not len(live):
-            break
-        size[live] += 1
-    good = size >= tests.need[q]
-    return q[good], p[good], size[good]
+            held += len(p)
+        if held >= PLACES:
+            yield _extended(np.concatenate(found_q), np.concatenate(found_p), words, tests)
+            found_q, found_p, held = [], [], 0
+    if held:
+        yield _extended(np.concatenate(found_q), np.concatenate(found_p), words, tests)
+
+
+def _best(row: np.ndarray, item: np.ndarray, n: np.ndarray, at: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each row and item the longest match, then that of the least places."""
+    order = np.lexsort((pos, at, -n, item, row))
+    row, item = row[order], item[order]
+    lead = np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1])])[: len(row)]
+    return row[lead], item[lead], *(x[order][lead] for x in (n, at, pos))
 
 
-def shard_matches(column: pa.Array, tests: Tests) -> tuple[np.ndarray, ...]:
-    """Row, item number, words, document position and item position of each match in a batch."""
-    out: list[tuple[np.ndarray, ...]] = []
+def shard_matches(column: pa.Array, tests: Tests) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row, item number, words, document position and item position of the matches in a batch, some at a time."""
     data, offs = buffers(column)
     for lo, hi in pieces(offs, 8 << 20):
         rows, hashes = [], []
@@ -172,11 +209,9 @@ def shard_matches(column: pa.Array, tests: Tests) -> tuple[np.ndarray, ...]:
             rows.append(w.count + 1)
         size = np.concatenate(rows)
         start = np.cumsum(size) - size
-        q, p, n = search(np.concatenate(hashes), tests)
-        if len(q):
+        for q, p, n in search(np.concatenate(hashes), tests):
             row = np.searchsorted(start, p, "right") - 1
-            out.append((row + lo, tests.item[q], n, p - start[row], tests.pos[q]))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 5
+            yield _best(row + lo, tests.item[q], n, p - start[row], tests.pos[q])
 
 
 def _passes(benchmark: DataFrame) -> Iterator[list]:
@@ -205,8 +240,8 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min_word
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                row, item, n, at, pos = shard_matches(batch.column(1), shared.value)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *(pa.array(x, pa.int32()) for x in (item, n, at, pos))], ["doc_id", "item_no", "match_words", "doc_pos", "item_pos"])
+                for row, item, n, at, pos in shard_matches(batch.column(1), shared.value):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *(pa.array(x, pa.int32()) for x in (item, n, at, pos))], ["doc_id", "item_no", "match_words", "doc_pos", "item_pos"])
 
         names = spark.createDataFrame(list(enumerate(ids)), f"item_no int, item_id {item_kind.simpleString()}")
         best = own.mapInArrow(scan, schema).groupBy("doc_id", "item_no").agg(F.min(F.struct((-F.col("match_words")).alias("m"), "doc_pos", "item_pos")).alias("b"))
@@ -219,7 +254,8 @@ def _leaks(shared):
     @F.arrow_udf("boolean")
     def leaks(text: pa.Array) -> pa.Array:
         found = np.zeros(len(text), bool)
-        found[shard_matches(text, shared.value)[0]] = True
+        for row, *_ in shard_matches(text, shared.value):
+            found[row] = True
         return pa.array(found)
 
     return leaks
@@ -230,6 +266,6 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, mi
     modest(spark)
     (hit,) = free(docs, "hit")
     for rows in _passes(benchmark):
-        leaks = _leaks(spark.sparkContext.broadcast(prepare(rows, min_words, least_item)))
+        leaks = _leaks(spark.sparkContext.broadcast(distinct(prepare(rows, min_words, least_item))))
         docs = docs.withColumn(hit, leaks(field("text").cast("string"))).where(~F.col(hit)).drop(hit)
     return docs

@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gatelight.llm import suffix as sx
@@ -80,3 +83,37 @@ def test_empty(spark, no_docs, odd_docs, bench_items):
     assert sx.matches(spark, no_docs, bench_items).count() == sx.matches(spark, odd_docs, bench_items.limit(0)).count() == 0
     assert sx.decontaminate(spark, no_docs, bench_items).count() == 0
     assert sx.decontaminate(spark, odd_docs, bench_items.limit(0)).count() == odd_docs.count()
+
+
+def test_items_that_begin_alike_are_not_held_all_at_once():
+    head = "choose the best answer from the options given below"
+    tests = sx.prepare([(i, f"{head} q{i} and r{i}") for i in range(200)])
+    texts = pa.array([f"d{i} {head} x{i} " * 20 for i in range(1500)])
+    for own, pairs in ((tests, 1500 * 200), (getattr(sx, "distinct", lambda t: t)(tests), 1500)):
+        n = 0
+        tracemalloc.start()
+        for part in sx.shard_matches(texts, own):
+            n += len(part[0])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n == pairs and peak < 150e6
+
+
+def test_some_at_a_time_and_distinct(rng, monkeypatch):
+    """The same best matches however few are held; the same documents by one suffix of those that begin alike."""
+    items = [(i, words(rng, rng.randint(3, 14), 3)) for i in range(40)]
+    items += [(i, " ".join(["a"] * rng.randint(4, 12))) for i in range(40, 44)]
+    texts = [words(rng, rng.randint(0, 30), 3) for _ in range(60)] + [" ".join(["a"] * n) for n in (4, 5, 7, 8, 30)]
+    for places in (1, 7, 1 << 20):
+        monkeypatch.setattr(sx, "PLACES", places)
+        for least, short in ((8, 5), (5, 5), (11, 4)):
+            want = brute(list(enumerate(texts)), items, least, short)
+            tests = sx.prepare(items, least, short)
+            best = {}
+            for part in sx.shard_matches(pa.array(texts), tests):
+                for row, item, n, at, pos in zip(*(x.tolist() for x in part)):
+                    best[row, item] = min(best.get((row, item), (0, 0, 0)), (-n, at, pos))
+            assert {k: (-n, at, pos) for k, (n, at, pos) in best.items()} == want
+            few = sx.distinct(tests)
+            rows = {r for part in sx.shard_matches(pa.array(texts), few) for r in part[0].tolist()}
+            assert rows == {k[0] for k in want} and len(few.at) <= len(tests.at)
