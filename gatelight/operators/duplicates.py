@@ -2,8 +2,7 @@
 
 The ratio depends on the order of its arguments, so pairs are (earlier, later) by ``seq``. Candidates come
 from a bound that loses none: with ratio >= t the shorter text has at least t / (2 - t) of the longer
-one's length. Lengths are banded by that factor, so pairs lie at most one band apart, and a second bound
-counts common characters.
+one's length. A second bound, in ``matching``, counts the runs of characters that two texts have in common.
 """
 
 from __future__ import annotations
@@ -11,11 +10,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import html
-from ..functions.exact import exact_text, ratio_from
+from ..functions.exact import exact_text, packed, unpacked
+from ..functions.matching import Texts
 from ..functions.text import percent
 from ..sources.shared import keep
 
@@ -46,36 +48,52 @@ def candidates(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return both.where((F.col("i") < F.col("j")) & (bound >= threshold)).select("site", "i", "j", "ni", "nj")
 
 
-def similar_pairs(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+#: Characters of the texts that a task holds an index of, at most (a longer text is alone in its chunk), and where there are fewer texts,
+#: how many chunks they are cut into; so many chunks are held against it in one task.
+CHUNK, CHUNKS, ABREAST = 12_000_000, 24, 6
+
+
+def _chunks(pages: DataFrame) -> DataFrame:
+    """site, seq, n, chunk: a site's pages by length, cut into chunks of bounded size. Only counts by length are put in order."""
+    by = pages.groupBy("site", "n").agg((F.count("*") * F.col("n")).cast("double").alias("chars"))
+    size = by.agg(F.greatest(F.least(F.sum("chars") / CHUNKS, F.lit(float(CHUNK))), F.lit(1.0)).alias("size"))
+    start = F.coalesce(F.sum("chars").over(Window.partitionBy("site").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    placed = by.select("site", "n", "chars", start.alias("start")).crossJoin(F.broadcast(size))
+    share = F.pmod(F.xxhash64("seq"), F.lit(1 << 20)) / (1 << 20)
+    return pages.select("site", "seq", "n").join(placed, ["site", "n"]).select("site", "seq", "n", F.floor((F.col("start") + share * F.col("chars")) / F.col("size")).alias("chunk"))
+
+
+def similar_pairs(pages: DataFrame, threshold: float = THRESHOLD, save: _Save | None = None) -> DataFrame:
     """site, i, j, sim for all pairs i < j with ratio >= threshold.
 
-    Pairs are formed of counts alone. Texts go only to those that the bound on common characters lets through.
+    A site's pages are cut into chunks by length. Each chunk is held against itself and the chunks of longer
+    texts that the length bound lets through, some at a time; within a task, ``matching`` finds the pairs by the
+    runs of characters that they have in common, so that no text is moved for a single pair.
     """
-    factor = (2 - threshold) / threshold
-    band = F.floor(F.log("n") / math.log(factor) + 1e-9)
-    names = [f"c{k}" for k in range(len(_CHARS) + 1)]
-    own = pages.select("site", "seq", "n", band.alias("band"), _counts(F.col("text")).alias("c")).select("site", "seq", "n", "band", *[F.col("c")[k].alias(x) for k, x in enumerate(names)])
-    left = own.select("site", F.col("seq").alias("i"), F.col("n").alias("ni"), F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), *[F.col(x).alias(f"l{x}") for x in names])
-    right = own.select("site", F.col("seq").alias("j"), F.col("n").alias("nj"), "band", *[F.col(x).alias(f"r{x}") for x in names])
-    common = sum((F.least(f"l{x}", f"r{x}") for x in names), F.lit(0))
-    size = F.col("ni") + F.col("nj")
-    fit = (F.col("i") < F.col("j")) & (2 * F.least("ni", "nj") / size >= threshold) & (2 * common / size >= threshold)
-    pairs = left.join(right, ["site", "band"]).where(fit).select("site", "i", "j")
-    a, b = (pages.select("site", F.col("seq").alias(k), F.col("text").alias(f"t{k}")) for k in "ij")
-    both = pairs.join(a, ["site", "i"]).join(b, ["site", "j"])
-    return both.select("site", "i", "j", ratio_from(threshold)("ti", "tj").alias("sim")).where("sim is not null")
-
-
-#: Characters that are counted one by one; all others together.
-_CHARS = list(dict.fromkeys("abcdefghijklmnopqrstuvwxyz .,0123456789\n"))
-
-
-def _counts(text: Column) -> Column:
-    """Occurrences of some characters and of the rest. Merging characters can only raise the bound."""
-    low = F.lower(text)
-    each = [F.length(low) - F.length(F.replace(low, F.lit(c), F.lit(""))) for c in _CHARS]
-    rest = F.length(F.translate(low, "".join(_CHARS), ""))
-    return F.array(*each, rest)
+    save = save or keep
+    own = save(_chunks(pages))
+    each = own.groupBy("site", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    near = F.col("hi") >= F.col("lo") * (threshold / (2 - threshold)) * (1 - 1e-9)
+    both = each.select("site", F.col("chunk").alias("held"), "hi").join(each.select("site", "chunk", "lo"), "site").where((F.col("held") <= F.col("chunk")) & near)
+    part = lambda c: F.floor(F.col(c) / ABREAST)
+    units = both.select("site", "held", "chunk", part("chunk").alias("part"))
+    asks = own.join(units.where("held < chunk"), ["site", "chunk"]).select("site", "seq", "held", "part", F.lit(False).alias("index"), F.lit(False).alias("inner"))
+    holds = own.withColumnRenamed("chunk", "held").join(units.select("site", "held", "part").distinct(), ["site", "held"]).select("site", "seq", "held", "part", F.lit(True).alias("index"), (part("held") == F.col("part")).alias("inner"))
+    rows = asks.union(holds).join(pages.select("site", "seq", packed("text").alias("text")), ["site", "seq"])
+
+    def found(unit: pa.Table) -> pa.Table:
+        index, asked = unit.filter(unit["index"]), unit.filter(pc.invert(unit["index"]))
+        texts = Texts(index["seq"].to_pylist(), [unpacked(x) for x in index["text"].to_pylist()])
+        pairs = list(texts.within(threshold)) if index["inner"][0].as_py() else []
+        for batch in asked.to_batches(256):
+            for seq, text in zip(batch["seq"].to_pylist(), batch["text"].to_pylist()):
+                pairs += texts.similar(seq, unpacked(text), threshold)
+        i, j, sim = zip(*pairs) if pairs else ((), (), ())
+        site = pa.repeat(unit["site"][0], len(pairs))
+        return pa.table([site, pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(sim, pa.float64())], ["site", "i", "j", "sim"])
+
+    tasks = 8 * pages.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(tasks, "site", "held", "part").groupBy("site", "held", "part").applyInArrow(found, "site string, i long, j long, sim double")
 
 
 def leaders(pages: DataFrame, edges: DataFrame, save: _Save | None = None) -> DataFrame:
